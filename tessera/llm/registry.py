@@ -23,9 +23,23 @@ def op5_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fingerprint import fingerprint_documents
+
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+def op10_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import find_personal_data
+
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_prefix_sharding": op4_byte_prefix_sharding,
     "op5_weighted_mixing": op5_weighted_mixing,
+    "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
+    "op10_weakly_supervised_pii": op10_weakly_supervised_pii,
 }
 
 ORACLES: dict[str, str] = {}
