@@ -11,6 +11,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.token_files import tokenize_documents
+
+    return tokenize_documents(spark, _table(spark, sf_dir, "documents"))
+
+
+def op3_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_byte_prefix_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shard_documents
 
@@ -36,6 +48,8 @@ def op10_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_arrow_token_files": op2_arrow_token_files,
+    "op3_sharded_warc": op3_sharded_warc,
     "op4_byte_prefix_sharding": op4_byte_prefix_sharding,
     "op5_weighted_mixing": op5_weighted_mixing,
     "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
