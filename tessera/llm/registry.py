@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op2_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_files import tokenize_documents
 
@@ -48,6 +54,7 @@ def op10_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_arrow_token_files": op2_arrow_token_files,
     "op3_sharded_warc": op3_sharded_warc,
     "op4_byte_prefix_sharding": op4_byte_prefix_sharding,
