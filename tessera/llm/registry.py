@@ -41,6 +41,12 @@ def op5_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngram_join import link_documents
+
+    return link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fingerprint import fingerprint_documents
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharded_warc": op3_sharded_warc,
     "op4_byte_prefix_sharding": op4_byte_prefix_sharding,
     "op5_weighted_mixing": op5_weighted_mixing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
     "op10_weakly_supervised_pii": op10_weakly_supervised_pii,
 }

@@ -12,9 +12,15 @@ from tessera.llm.bytehash import Stretches, mix
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 2 << 20
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def _turn(j: int) -> np.uint64:
+    """What tells the j-th word of a shingle from the others."""
+    return np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+
+
 
 
 def raw(column: pa.Array) -> Iterator[np.ndarray]:
@@ -59,8 +65,8 @@ def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, n
     n = np.diff(first)
     total = len(h)
     acc = np.zeros(total, np.uint64)
-    for j in range(width):
-        acc[: total - j if j else total] += mix(h[j:] + np.uint64(j + 1) * _STEP) if j < total else np.uint64(0)
+    for j in range(min(width, total)):
+        acc[: total - j] += mix(h[j:] + _turn(j))
     acc = mix(acc + np.uint64(width))
     count = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
     begins = np.r_[0, np.cumsum(count)]
@@ -68,7 +74,7 @@ def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, n
     out = acc[source]
     for i in np.flatnonzero((n > 0) & (n < width)):  # the whole sequence
         part = h[first[i] : first[i + 1]]
-        out[begins[i]] = mix(np.array([sum(int(mix(part[j : j + 1] + np.uint64(j + 1) * _STEP)[0]) for j in range(len(part))) % (1 << 64)], np.uint64) + np.uint64(len(part)))[0]
+        out[begins[i]] = mix(np.array([sum(int(mix(part[j : j + 1] + _turn(j))[0]) for j in range(len(part))) % (1 << 64)], np.uint64) + np.uint64(len(part)))[0]
     return out, begins
 
 
