@@ -1,8 +1,9 @@
 """Token ids in Arrow files of fixed-size lists (operator 2).
 
 Documents are range-sorted by doc_id; each range is one file of record batches
-with two columns of fixed-size lists: ``ids`` (uint32) and ``mask`` (uint8, 1 on
-ids, 0 on the filling of the last sequence).  A list of equal length needs no
+with two columns of fixed-size lists: ``ids`` (uint16, or uint32 for more than
+65,536 ids) and ``mask`` (bits, set on ids and not on the filling of the last
+sequence).  A list of equal length needs no
 offsets, so sequence i of a memory-mapped file is found by arithmetic and read
 without a copy.  An index file beside it has doc_id, start and n_tokens of each
 document, and a manifest gives the ids before each file.
@@ -54,6 +55,8 @@ class Encoder:
         with open(path) as f:
             model = json.load(f)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        #: the narrowest type that holds all ids
+        self.type = np.dtype("<u2") if max(model["vocab"].values()) < 1 << 16 and self.ids_fit(path) else np.dtype("<u4")
         self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)  # the pieces have a table of their own
         self.whole = Tokenizer.from_file(path)
         self.letters = _byte_letters()
@@ -63,10 +66,17 @@ class Encoder:
         self.after: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    @staticmethod
+    def ids_fit(path: str) -> bool:
+        import json
+
+        with open(path) as f:
+            return all(t["id"] < 1 << 16 for t in json.load(f).get("added_tokens") or [])
+
     def _part(self, letters: str) -> bytes:
         got = self.parts.get(letters)
         if got is None:
-            got = self.parts[letters] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            got = self.parts[letters] = np.array([t.id for t in self.model.tokenize(letters)], self.type).tobytes()
         return got
 
     def _piece(self, text: str) -> bytes:
@@ -80,11 +90,11 @@ class Encoder:
         return b"".join(self._part(letters) for letters, _ in self.split(text))
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Little-endian unsigned ids of ``type``."""
         if not text:
             return b""
         if SPECIAL in text or self.odd.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type).tobytes()
         if len(self.after) + len(self.parts) > CACHE_WORDS:
             self.first.clear()
             self.after.clear()
@@ -118,8 +128,8 @@ def encoder(path: str) -> Encoder:
 MANIFEST = "shard int, path string, docs long, tokens long, sequences long"
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, kind: np.dtype) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -129,12 +139,14 @@ def _writer(root: str, tokenizer: str, end_id: int, length: int, rows_a_batch: i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        enc = encoder(tokenizer)
+        end = np.array([end_id], enc.type).tobytes()
         store, base = open_fs(root)
         shard = TaskContext.get().partitionId()
         path = f"{base}/part-{shard:06d}"
         ids_file, index_file = Committed(store, f"{path}.arrow"), Committed(store, f"{path}.index.arrow")
-        schema, block = _schema(length), rows_a_batch * length * 4
+        width = enc.type.itemsize
+        schema, block = _schema(length, enc.type), rows_a_batch * length * width
         docs = tokens = sequences = 0
         held: list[bytes] = []
         size = 0
@@ -144,10 +156,10 @@ def _writer(root: str, tokenizer: str, end_id: int, length: int, rows_a_batch: i
                 nonlocal sequences
                 cut = len(data) if last else len(data) // block * block
                 for at in range(0, cut, block):
-                    flat = np.frombuffer(data[at : min(at + block, cut)], "<u4")
+                    flat = np.frombuffer(data[at : min(at + block, cut)], enc.type)
                     n = -(-len(flat) // length)
-                    ids, mask = np.zeros(n * length, np.uint32), np.zeros(n * length, np.uint8)
-                    ids[: len(flat)], mask[: len(flat)] = flat, 1
+                    ids, mask = np.zeros(n * length, enc.type), np.zeros(n * length, bool)
+                    ids[: len(flat)], mask[: len(flat)] = flat, True
                     ids_out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema))
                     sequences += n
                 return data[cut:]
@@ -156,7 +168,7 @@ def _writer(root: str, tokenizer: str, end_id: int, length: int, rows_a_batch: i
                 found: list[tuple] = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     ids = enc.encode(text or "") + end
-                    n = len(ids) // 4
+                    n = len(ids) // width
                     found.append((doc_id, tokens, n))
                     docs, tokens, size = docs + 1, tokens + n, size + len(ids)
                     held.append(ids)
@@ -189,15 +201,16 @@ def write_tokens(docs: DataFrame, root: str, scratch: Scratch, tokenizer: str, e
 
 
 def read_sequences(path: str, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences ``first`` to ``last`` (exclusive) of a file and their masks, as rows of two matrices.
+    """Sequences ``first`` to ``last`` (exclusive) of a file, and how many ids each has.
 
     Random access: the batches that hold them are found by their number, and none
-    other is read.  Inside one batch of a memory-mapped file there is no copy.
+    other is read.  Inside one batch of a memory-mapped file the ids are not copied.
     """
-    return _Sequences(path).rows(first, last)
+    found = Sequences(path)
+    return found.rows(first, last), found.lengths(first, last)
 
 
-class _Sequences:
+class Sequences:
     def __init__(self, path: str):
         store, local = open_fs(path) if "://" in path else (None, path)
         if store is None or store.type_name == "local":
@@ -206,33 +219,40 @@ class _Sequences:
             self.source = store.open_input_file(f"{local}.arrow")
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
+        self.type = np.dtype(self.reader.schema.field("ids").type.value_type.to_pandas_dtype())
         self.a_batch = len(self.reader.get_batch(0)) if self.reader.num_record_batches else 1
-        self._last: tuple[int, np.ndarray, np.ndarray] = (-1, np.zeros((0, self.length)), np.zeros((0, self.length)))
+        self._at, self._ids, self._mask = -1, np.zeros((0, self.length), self.type), np.zeros(0, np.uint8)
 
-    def _batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if self._last[0] != k:
+    def _load(self, k: int) -> None:
+        if self._at != k:
             batch = self.reader.get_batch(k)
-            ids, mask = (batch.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in (0, 1))
-            self._last = (k, ids, mask)
-        return self._last[1:]
+            bits = batch.column(1).flatten()
+            self._ids = batch.column(0).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length)
+            self._mask = np.frombuffer(bits.buffers()[1], np.uint8)[bits.offset // 8 :]
+            self._at = k
 
-    def rows(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
+    def _parts(self, first: int, last: int) -> Iterator[slice]:
         for k in range(first // self.a_batch, -(-last // self.a_batch)):
-            ids, mask = self._batch(k)
-            at = slice(max(0, first - k * self.a_batch), last - k * self.a_batch)
-            parts.append((ids[at], mask[at]))
-        if len(parts) == 1:
-            return parts[0]
-        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros((0, self.length), np.uint32), np.zeros((0, self.length), np.uint8))
+            self._load(k)
+            yield slice(max(0, first - k * self.a_batch), min(last - k * self.a_batch, len(self._ids)))
+
+    def rows(self, first: int, last: int) -> np.ndarray:
+        parts = [self._ids[at] for at in self._parts(first, last)]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros((0, self.length), self.type), *parts])
+
+    def lengths(self, first: int, last: int) -> np.ndarray:
+        """The set bits of each sequence's mask."""
+        a = self.length // 8
+        parts = [np.bitwise_count(self._mask[at.start * a : at.stop * a].reshape(-1, a)).sum(axis=1) for at in self._parts(first, last)]
+        return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from place ``start`` of the file's stream; fails where the mask has none."""
         first, last = start // self.length, -(-(start + n) // self.length)
-        ids, mask = self.rows(first, last)
+        lengths = self.lengths(first, last)
         at = slice(start - first * self.length, start - first * self.length + n)
-        got = ids.reshape(-1)[at]
-        if len(got) != n or not mask.reshape(-1)[at].all():
+        got = self.rows(first, last).reshape(-1)[at]
+        if len(got) != n or (n and (lengths[:-1] != self.length).any()) or (n and at.stop > (len(lengths) - 1) * self.length + lengths[-1]):
             raise ValueError("the file holds fewer ids than its index says")
         return got
 
@@ -246,13 +266,13 @@ def _read(root: str):
         scheme = "" if store.type_name == "local" else root.split("://")[0] + "://"
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                sequences = _Sequences(scheme + path)
+                sequences = Sequences(scheme + path)
                 with store.open_input_file(f"{path}.index.arrow") as f:
                     index = pa.ipc.open_file(f)
                     for k in range(index.num_record_batches):
                         part = index.get_batch(k)
                         starts, counts = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
-                        sums = [zlib.crc32(np.ascontiguousarray(sequences.tokens(int(s), int(n)), "<u4")) for s, n in zip(starts, counts, strict=True)]
+                        sums = [zlib.crc32(sequences.tokens(int(s), int(n)).astype("<u4")) for s, n in zip(starts, counts, strict=True)]
                         yield pa.record_batch([part.column("doc_id"), pa.array(starts + base), part.column("n_tokens"), pa.array(sums, pa.int64())], schema=OUT)
 
     return read
