@@ -11,7 +11,9 @@ document, and a manifest gives the ids before each file.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,9 @@ from tessera.llm.scratch import Scratch, partitions
 
 #: fixed values: the format of the tokenizer's vocabulary file
 SPECIAL = "<|endoftext|>"
-CACHE_WORDS = 1_500_000
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN_END = "\u0250"
+CACHE_WORDS = 2_500_000
 TARGET_BYTES = 64 << 20
 
 
@@ -55,12 +59,15 @@ class Encoder:
         with open(path) as f:
             model = json.load(f)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        #: the narrowest type that holds all ids
+        # the narrowest type that holds all ids
         self.type = np.dtype("<u2") if max(model["vocab"].values()) < 1 << 16 and self.ids_fit(path) else np.dtype("<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)  # the pieces have a table of their own
         self.whole = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self.odd = regex.compile(r"(?: \s)|(?: $)|(?:[^\S ] )")
+        self.odd = re.compile(r" (?:\s|$)")
+        self.control = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+        self.pattern = regex.compile(PATTERN)
         self.split = self.whole.pre_tokenizer.pre_tokenize_str
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
@@ -76,18 +83,31 @@ class Encoder:
     def _part(self, letters: str) -> bytes:
         got = self.parts.get(letters)
         if got is None:
-            got = self.parts[letters] = np.array([t.id for t in self.model.tokenize(letters)], self.type).tobytes()
+            got = self.parts[letters] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
         return got
 
-    def _piece(self, text: str) -> bytes:
-        word = text[1:] if text[:1] == " " else ""
-        if word.isascii():
-            blank = self.letters[32]
-            if word.isalpha():
-                return self._part(blank + word)
-            if word[:-1].isalpha() and word[-1] in ".,":
-                return self._part(blank + word[:-1]) + self._part(word[-1])
-        return b"".join(self._part(letters) for letters, _ in self.split(text))
+    def _letters(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() and " " not in word else word.encode().decode("latin-1").translate(self.letters)
+
+    def _piece(self, word: str, blank: str) -> bytes:
+        """Ids of ``blank + word``; ``blank`` is a blank or nothing.
+
+        Words of Latin letters, also with a full stop or comma after them or a line
+        break between them, are cut at once, other ASCII by the pre-tokenizer's
+        pattern, and what is left by the pre-tokenizer itself.
+        """
+        lead = self.letters[32] if blank else ""
+        if word.isalpha() and max(word) < LATIN_END:
+            return self._part(lead + self._letters(word))
+        if word[-1:] in (".", ",") and word[:-1].isalpha() and max(word) < LATIN_END:
+            return self._part(lead + self._letters(word[:-1])) + self._part(word[-1])
+        left, line, right = word.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return self._piece(left, blank) + self._part(self.letters[10]) + self._piece(right, "")
+        text = blank + word
+        if text.isascii() and not self.control.search(text):
+            return b"".join([self._part(self._letters(x)) for x in self.pattern.findall(text)])
+        return b"".join([self._part(letters) for letters, _ in self.split(text)])
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned ids of ``type``."""
@@ -104,14 +124,14 @@ class Encoder:
         if head:
             got = self.first.get(head)
             if got is None:
-                got = self.first[head] = self._piece(head)
+                got = self.first[head] = self._piece(head, "")
             out.append(got)
         try:
             out.extend([after[w] for w in rest])
         except KeyError:
             for w in rest:
                 if w not in after:
-                    after[w] = self._piece(" " + w)
+                    after[w] = self._piece(w, " ")
             out.extend([after[w] for w in rest])
         return b"".join(out)
 
