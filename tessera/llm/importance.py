@@ -98,7 +98,7 @@ def log_ratios(every: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scored(ratios: np.ndarray, schema: pa.Schema):
+def _scored(ratios: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights = []
@@ -161,7 +161,7 @@ class Classifier:
         if docs.columns == ["doc_id", "text"]:
             rows = rows.drop("text")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", _weight double"
-        return rows.mapInArrow(_scored(self.ratios, None), schema).withColumn("_key", F.col("_weight") + self.noise)
+        return rows.mapInArrow(_scored(self.ratios), schema).withColumn("_key", F.col("_weight") + self.noise)
 
     def _cutoff(self) -> float:
         """The k-th greatest key: keys are sorted into ranges, and the ranks come from the ranges' counts."""

@@ -47,6 +47,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.importance import sample_documents
+
+    return sample_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fingerprint import fingerprint_documents
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_prefix_sharding": op4_byte_prefix_sharding,
     "op5_weighted_mixing": op5_weighted_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_importance_resampling": op8_importance_resampling,
     "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
     "op10_weakly_supervised_pii": op10_weakly_supervised_pii,
 }
