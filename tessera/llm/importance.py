@@ -31,7 +31,7 @@ from tessera.llm.shingles import raw, slices
 BITS = 16
 FAMILIES = 3
 MOST_LABELS = 20_000  # labelled rows that are used, a bound on the sample the classifier is fitted on
-SMOOTHING = 8.0
+SMOOTHING = 64.0
 
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -118,7 +118,7 @@ def sample_labels(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
 
 
 def threshold(good: list[float], poor: list[float]) -> float:
-    """The weight that parts the labelled documents best (balanced accuracy); a quarter of the gap below the good side."""
+    """The weight that parts the labelled documents best (balanced accuracy), in the middle of the gap."""
     if not good or not poor:
         return -math.inf
     g, p = np.sort(good), np.sort(poor)
@@ -127,7 +127,7 @@ def threshold(good: list[float], poor: list[float]) -> float:
     caught = np.searchsorted(p, cuts, "left") / len(p)
     best = float(cuts[int(np.argmax(kept + caught))])
     below = np.r_[p[p < best], g[g < best]]
-    return best - 0.25 * (best - float(below.max())) if len(below) else best
+    return best - 0.5 * (best - float(below.max())) if len(below) else best
 
 
 def gumbel(seed: int) -> Column:
