@@ -236,19 +236,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_k", F.xxhash64("doc_id", text, F.octet_length(text)))
 
 
-def classify(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """``docs`` with _k, _n (size of the set) and _class: rows of one class reach each other by links, or have one set.
+def classify_keys(rows: DataFrame, scratch: Scratch, width: int, t: Fraction) -> DataFrame:
+    """(k, id, copies, _n, _class) for each distinct key of ``rows`` (k, text, id).
 
-    Sets without n-grams have the null class and are linked with nothing.
+    _n is the size of the set.  Keys of one class reach each other by links or have
+    one set; sets without n-grams have the null class and are linked with nothing.
+    ``copies`` is the number of rows of the key, which are equal in id and text.
     """
-    scratch = Scratch(docs.sparkSession, "ngram")
-    rows = keyed(docs)
-    join = Join(rows.select(F.col("_k").alias("k"), F.coalesce("text", F.lit("")).alias("text")), scratch, width, t)
+    join = Join(rows.select("k", "text"), scratch, width, t)
     found = join.classes()
-    entries = join.entries.select("k", "n", "s").dropDuplicates(["k"])
+    ids = rows.groupBy("k").agg(F.first("id").alias("id"), F.count("*").alias("copies"))
+    entries = join.entries.select("k", "n", "s").dropDuplicates(["k"]).join(ids, "k")
     named = entries.join(found.select(F.col("node").alias("s"), "component"), "s", "left")
-    named = scratch.table(named.select(F.col("k").alias("_k"), F.col("n").alias("_n"), F.when(F.col("n") > 0, F.coalesce("component", "s")).alias("_class")), "named-rows")
-    return rows.join(named, "_k")
+    return scratch.table(named.select("k", "id", "copies", F.col("n").alias("_n"), F.when(F.col("n") > 0, F.coalesce("component", "s")).alias("_class")), "named-keys")
 
 
 def link_documents(docs: DataFrame, width: int = 3, t: Fraction = Fraction(9, 10)) -> DataFrame:
@@ -260,7 +260,30 @@ def link_documents(docs: DataFrame, width: int = 3, t: Fraction = Fraction(9, 10
     give repeated results; rows without an id can be in a component and have none of
     their own if alone.  An empty table gives an empty result; other columns are ignored.
     """
-    classed = Scratch(docs.sparkSession, "linked").table(classify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, t).select("doc_id", "_n", "_class"), "rows")
-    least = classed.where("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    least = Scratch(docs.sparkSession, "least").table(least, "classes")
-    return classed.join(least, "_class", "left").select("doc_id", F.col("_n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    scratch = Scratch(docs.sparkSession, "linked")
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    classed = classify_keys(rows.select(F.col("_k").alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id")), scratch, width, t)
+    least = classed.where("_class is not null").groupBy("_class").agg(F.min("id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = scratch.table(least, "classes")
+    out = classed.join(least, "_class", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(F.col("id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of ``docs`` but for near duplicates: of each class the least doc_id stays (no id comes last).
+
+    Documents without words are no copies of anything and stay.  Of rows that repeat
+    in id and text one stays.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = keyed(docs)
+    classed = classify_keys(rows.select(F.col("_k").alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id")), scratch, width, t)
+    rank = F.struct(F.col("id").isNull(), "id", "k")
+    first = scratch.table(classed.where("_class is not null").groupBy("_class").agg(F.min(rank)["k"].alias("first")), "first")
+    lost = classed.where("_class is not null").join(first, "_class").where("k != first").select(F.col("k").alias("_k"))
+    again = scratch.table(classed.groupBy("k").agg(F.max("copies").alias("n")).where("n > 1").select(F.col("k").alias("_k")), "again")
+    lost = scratch.table(lost.distinct(), "lost")
+    once = rows.join(lost.union(again).distinct(), "_k", "left_anti")
+    if not again.isEmpty():
+        once = once.union(rows.join(again.join(lost, "_k", "left_anti"), "_k", "left_semi").dropDuplicates(["_k"]).select(*once.columns))
+    return once.select(*docs.columns)

@@ -47,6 +47,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_seeded_alignment_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.importance import sample_documents
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_prefix_sharding": op4_byte_prefix_sharding,
     "op5_weighted_mixing": op5_weighted_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_seeded_alignment_decontamination": op7_seeded_alignment_decontamination,
     "op8_importance_resampling": op8_importance_resampling,
     "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
     "op10_weakly_supervised_pii": op10_weakly_supervised_pii,
