@@ -36,6 +36,7 @@ from tessera.llm.shingles import raw, sets, slices
 CLASS_RATIO = 1.5
 COLUMN_BLOCKS = 8
 BROADCAST_IDS = 1_000_000
+LOW_BLOCKS = 32  # row blocks of a set that are compared to keep its pairs from coming up again
 
 
 class Bounds:
@@ -216,13 +217,18 @@ class Join:
         named = scratch.table(named, "named")
         open_ = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("sig")
         open_ = scratch.table(open_, "open")
-        side = scratch.table(named.join(open_, "sig").join(self.sets.drop("k"), "s"), "open-members")
-        a = side.select("sig", F.col("s").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *[F.col(f"p{i}").alias(f"p{i}a") for i in range(4)])
-        b = side.select("sig", F.col("s").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *[F.col(f"p{i}").alias(f"p{i}b") for i in range(4)])
+        named = scratch.table(named.join(open_, "sig"), "open-named")
+        low = scratch.table(named.groupBy("s").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LOW_BLOCKS).alias("low")), "low")
+        side = scratch.table(named.join(self.sets.drop("k"), "s").join(low, "s"), "open-members")
+        a = side.select("sig", F.col("s").alias("a"), F.col("low").alias("lowa"), F.col("component").alias("ca"), F.col("n").alias("na"), *[F.col(f"p{i}").alias(f"p{i}a") for i in range(4)])
+        b = side.select("sig", F.col("s").alias("b"), F.col("low").alias("lowb"), F.col("component").alias("cb"), F.col("n").alias("nb"), *[F.col(f"p{i}").alias(f"p{i}b") for i in range(4)])
         num, den = self.t.numerator, self.t.denominator
         odd = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(4)), F.lit(0))
         near = (F.col("na") <= F.col("nb")) & ((F.col("na") != F.col("nb")) | (F.col("a") < F.col("b"))) & (F.col("na") * den >= F.col("nb") * num) & (F.col("ca") != F.col("cb"))
         near = near & ((F.col("na") + F.col("nb") - odd) * (num + den) >= (F.col("na") + F.col("nb")) * 2 * num)
+        # a pair comes up in the least row block that both lists name, not in each that the two share
+        least = F.array_min(F.array_intersect("lowa", "lowb"))
+        near = near & (least.isNull() | (a["sig"] <= least))
         cross = scratch.table(a.join(b, (a["sig"] == b["sig"]) & near).select("a", "b").distinct(), "cross")
         more = self._verify(self._candidates(cross), "cross")
         if more.isEmpty():
