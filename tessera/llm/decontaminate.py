@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytehash import Stretches, mix
+from tessera.llm.rows import unwrapped, wrapped
 from tessera.llm.scratch import Scratch
 from tessera.llm.shingles import raw, slices
 
@@ -228,17 +229,17 @@ def _cleaner(block: Block):
         table = block.table()
         for batch in batches:
             clean = []
-            for texts in slices(raw(batch.column("_text"))):
+            for texts in slices(raw(batch.column("text"))):
                 h, first = words(texts)
                 clean.extend(next(matches(h[first[i] : first[i + 1]], block, table), None) is None for i in range(len(texts)))
-            yield batch.drop_columns(["_text"]).filter(pa.array(clean, pa.bool_()))
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
     return rows
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without test items, with the columns of ``docs``."""
-    schema, out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), docs
+    out = wrapped(docs, text=F.coalesce("text", F.lit("")))
     for block in fitted_blocks(docs, benchmark):
-        out = out.withColumn("_text", F.coalesce("text", F.lit(""))).mapInArrow(_cleaner(block), schema)
-    return out
+        out = out.mapInArrow(_cleaner(block), out.schema)
+    return unwrapped(out)

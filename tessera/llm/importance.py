@@ -21,10 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.bytehash import Stretches, mix
 from tessera.llm.ngram_join import keyed
 from tessera.llm.ordering import ranged, with_prefix
+from tessera.llm.rows import unwrapped, wrapped
 from tessera.llm.scratch import Scratch, partitions
 from tessera.llm.shingles import raw, slices
 
@@ -155,12 +157,10 @@ class Classifier:
         self.k = self.scores.where(F.col("_weight") >= F.lit(self.least)).count()
         self.cutoff = self._cutoff()
 
-    def weigh(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (without another column of these names) with _k, _weight and _key."""
-        rows = keyed(docs).withColumn("_text", F.coalesce("text", F.lit("")))
-        if docs.columns == ["doc_id", "text"]:
-            rows = rows.drop("text")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", _weight double"
+    def weigh(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (doc_id, text and perhaps a row) without the text, with _k, _weight and _key."""
+        rows = keyed(rows).withColumn("_text", F.coalesce("text", F.lit(""))).drop("text")
+        schema = T.StructType([*[f for f in rows.schema if f.name != "_text"], T.StructField("_weight", T.DoubleType())])
         return rows.mapInArrow(_scored(self.ratios), schema).withColumn("_key", F.col("_weight") + self.noise)
 
     def _cutoff(self) -> float:
@@ -189,4 +189,4 @@ def sample_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are selected, with the columns of ``docs``."""
     fitted = Classifier(docs.select("doc_id", "text"), labels)
-    return fitted.weigh(docs).where(F.col("_key") >= F.lit(fitted.cutoff)).select(*docs.columns)
+    return unwrapped(fitted.weigh(wrapped(docs, "doc_id", "text")).where(F.col("_key") >= F.lit(fitted.cutoff)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import unwrapped, wrapped
 from tessera.llm.scratch import Scratch
 
 #: fixed value: a word is a run of other characters than ASCII white space
@@ -45,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
-    """All columns of ``docs`` with _size, _source_size, _target and _copies (long).
+    """``docs`` (doc_id, text, source and a row) with _size, _source_size, _target and _copies (long).
 
     ``_copies`` is how often the mix takes the document.  A null text has no words, a
     null source is a source of its own (the last).  A source without words gets the
@@ -64,12 +65,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     return joined.withColumn("_copies", copies.cast("long"))
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document ``_copies`` times."""
-    return mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*columns)
+def emit(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken."""
+    mixed = mix(wrapped(docs, "doc_id", "text", "source")).where("_copies > 0")
+    return unwrapped(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken (words the mix takes)."""
-    mixed = mix(docs)
+    mixed = mix(docs.select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))

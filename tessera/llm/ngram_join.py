@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bytehash import mix
 from tessera.llm.components import components
+from tessera.llm.rows import unwrapped, wrapped
 from tessera.llm.scratch import Scratch
 from tessera.llm.shingles import raw, sets, slices
 
@@ -66,8 +67,9 @@ def signatures(u: np.ndarray, bounds: Bounds) -> np.ndarray:
     A block without n-grams says nothing and is left out.  If there are so few others
     that a linked set may differ in each, the blocks less one n-gram are listed too:
     then a block in which the pair differs by one is the same in both.  If even that
-    can fail, which takes a tiny set with most blocks empty, one identifier for all
-    such sets of the size class is added.
+    can fail (each block of one n-gram differs by one, and each larger one by two),
+    which takes a tiny set with most blocks empty, one identifier for all such sets
+    of the size class is added.
     """
     out, high = [], u >> np.uint64(32)
     for cls, parts in bounds.classes(len(u)):
@@ -82,7 +84,7 @@ def signatures(u: np.ndarray, bounds: Bounds) -> np.ndarray:
             which = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(u)]))
             less = sums[which] - spread
             out.append(mix(less[less != 0] ^ salt[which][less != 0]))
-            if 2 * len(begins) <= most:
+            if len(begins) + np.count_nonzero(np.diff(np.r_[begins, len(u)]) > 1) <= most:
                 out.append(mix(np.array([(cls << 40) + 2], np.uint64)))
     return np.unique(np.concatenate(out))
 
@@ -282,8 +284,9 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4,
     in id and text one stays.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    rows = keyed(docs)
+    rows = keyed(wrapped(docs, "doc_id", "text"))
     classed = classify_keys(rows.select(F.col("_k").alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id")), scratch, width, t)
+    rows = rows.select("row", "_k")
     rank = F.struct(F.col("id").isNull(), "id", "k")
     first = scratch.table(classed.where("_class is not null").groupBy("_class").agg(F.min(rank)["k"].alias("first")), "first")
     lost = classed.where("_class is not null").join(first, "_class").where("k != first").select(F.col("k").alias("_k"))
@@ -292,4 +295,4 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4,
     once = rows.join(lost.union(again).distinct(), "_k", "left_anti")
     if not again.isEmpty():
         once = once.union(rows.join(again.join(lost, "_k", "left_anti"), "_k", "left_semi").dropDuplicates(["_k"]).select(*once.columns))
-    return once.select(*docs.columns)
+    return unwrapped(once)
