@@ -19,6 +19,7 @@ components is lost.  Sets are nodes: copies of one set never form pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -36,6 +37,7 @@ from tessera.llm.shingles import raw, sets, slices
 
 CLASS_RATIO = 1.5
 COLUMN_BLOCKS = 8
+PASSES = 4  # parts of the column blocks that are listed one after the other, to bound the disk in use
 BROADCAST_IDS = 1_000_000
 LOW_BLOCKS = 32  # row blocks of a set that are compared to keep its pairs from coming up again
 
@@ -54,11 +56,18 @@ class Bounds:
         """Most n-grams that a set of ``n`` and a linked one that is not smaller have not in common."""
         return n * (self.t.denominator - self.t.numerator) // self.t.numerator
 
+    def parts(self, cls: int) -> int:
+        """Column blocks of a size class: one more than can differ, and as many as are likely to be empty."""
+        largest = int(self.edges[cls + 1]) - 1
+        needed = self.differing(largest) + 1
+        empty = needed * math.exp(-largest / needed)
+        return needed + math.ceil(empty + 3 * math.sqrt(empty)) if needed > 1 else 1
+
     def classes(self, n: int) -> list[tuple[int, int]]:
         """(size class, number of column blocks) under which a set of ``n`` is listed: its own and those of smaller sets."""
         least = -(-n * self.t.numerator // self.t.denominator)
         own, low = (int(np.searchsorted(self.edges, x, "right")) - 1 for x in (n, max(1, least)))
-        return [(c, self.differing(int(self.edges[c + 1]) - 1) + 1) for c in range(low, own + 1)]
+        return [(c, self.parts(c)) for c in range(low, own + 1)]
 
 
 def signatures(u: np.ndarray, bounds: Bounds) -> np.ndarray:
@@ -79,7 +88,7 @@ def signatures(u: np.ndarray, bounds: Bounds) -> np.ndarray:
         sums = np.add.reduceat(spread, begins)
         salt = mix(part[begins] + np.uint64((cls << 40) + 1))
         out.append(mix(sums ^ salt))
-        most = min(bounds.differing(len(u)), parts - 1)
+        most = min(bounds.differing(len(u)), bounds.differing(int(bounds.edges[cls + 1]) - 1))
         if len(begins) <= most:
             which = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(u)]))
             less = sums[which] - spread
@@ -206,11 +215,16 @@ class Join:
     def classes(self) -> DataFrame:
         """(s, component): the component, named by its least set, of each set that has links."""
         scratch = self.scratch
-        blocks = self._listings().groupBy("sig").agg(F.min("s").alias("hub"), F.max("s").alias("last")).where("hub != last").select("sig", "hub")
-        blocks = scratch.table(blocks, "blocks")
-        scratch.release()
-        members = scratch.table(self._listings().join(blocks, "sig").select("sig", "s", "hub").distinct(), "members")
-        scratch.release()
+        members = None
+        for g in range(PASSES):
+            listed = self._listings().where(F.pmod("sig", F.lit(PASSES)) == g)
+            blocks = listed.groupBy("sig").agg(F.min("s").alias("hub"), F.max("s").alias("last")).where("hub != last").select("sig", "hub")
+            blocks = scratch.table(blocks, f"blocks-{g}")
+            scratch.release()
+            some = scratch.table(listed.join(blocks, "sig").select("sig", "s", "hub").distinct(), f"members-{g}")
+            members = some if members is None else members.union(some)
+            scratch.drop(f"blocks-{g}")
+            scratch.release()
         stars = members.where("s != hub").select(F.col("s").alias("a"), F.col("hub").alias("b")).distinct()
         links = self._verify(self._candidates(stars), "star")
         found = scratch.table(components(links, scratch, "first"), "first-found")
