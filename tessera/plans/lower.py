@@ -143,11 +143,46 @@ class Lowering:
             return F.when(self.mask(n), U.lit(n.weight)).otherwise(U.lit(0))
         return self.plane(n).column
 
+    def _steps(self, trees: list[Node]) -> tuple[list[Column], list[Node]]:
+        """Trees with one threshold and constant leaves, as one step function for each field; and the other trees.
+
+        All trees of a field together are constant between its thresholds, so a row is
+        looked up by bisection instead of passing each tree.
+        """
+        jumps: dict[str, dict[int, int]] = {}
+        lowest, absent, others = {}, {}, []
+        for t in trees:
+            test = t.args[0] if t.kind == "select" and t.args[1].kind == t.args[2].kind == "const" else None
+            if test is None or test.kind not in ("gt", "ge", "lt", "le") or test.args[0].kind != "load" or test.args[1].kind != "const" or not self.plane(test.args[0]).plain or not 0 <= test.args[1].value < U.HALF - 1:
+                others.append(t)
+                continue
+            f, yes, no = test.args[0].name, U.signed(t.args[1].value), U.signed(t.args[2].value)
+            below, above = (no, yes) if test.kind in ("gt", "ge") else (yes, no)
+            at = test.args[1].value + (test.kind in ("gt", "le"))
+            found = jumps.setdefault(f, {})
+            found[at] = found.get(at, 0) + above - below
+            lowest[f], absent[f] = lowest.get(f, 0) + below, absent.get(f, 0) + no
+        out = []
+        for f, found in jumps.items():
+            column, edges, values = self._load(Node("load", name=f)).column, sorted(found), [lowest[f]]
+            for e in edges:
+                values.append(values[-1] + found[e])
+
+            def bisect(low: int, high: int, column=column, edges=edges, values=values) -> Column:
+                if low == high:
+                    return U.lit(values[low])
+                middle = (low + high) // 2
+                return F.when(column >= U.lit(edges[middle]), bisect(middle + 1, high)).otherwise(bisect(low, middle))
+
+            out.append(F.when(column.isNull(), U.lit(absent[f])).otherwise(bisect(0, len(edges))))
+        return out, others
+
     def row_sum(self, n: Node) -> Column:
-        """The whole sum of a row.  Many trees are folded over an array: one deep sum would become one huge method."""
+        """The whole sum of a row.  Many terms are folded over an array: one deep sum would become one huge method."""
         trees, constant = self.forest(n)
-        terms = [*map(self.term, trees), *([U.lit(constant)] if constant else [])]
         reach = abs(constant) + sum(abs(U.signed(t.weight)) if t.result == MASK else self.plane(t).most for t in trees)
+        steps, trees = self._steps(trees) if reach < U.HALF else ([], trees)
+        terms = [*steps, *map(self.term, trees), *([U.lit(constant)] if constant else [])]
         add = (lambda a, x: a + x) if reach < U.HALF else U.wrap_add
         if len(terms) <= 16:
             return balanced_sum(terms) if reach < U.HALF else reduce(add, terms)
