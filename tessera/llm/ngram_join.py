@@ -37,7 +37,8 @@ from tessera.llm.shingles import raw, sets, slices
 
 CLASS_RATIO = 1.5
 COLUMN_BLOCKS = 8
-PASSES = 4  # parts of the column blocks that are listed one after the other, to bound the disk in use
+WIDE_BITS = 1024  # parities that candidates are held to before their sets are fetched
+PASSES = 4  # parts of the column blocks, and of the pairs, that are taken one after the other, to bound the disk in use
 BROADCAST_IDS = 1_000_000
 LOW_BLOCKS = 32  # row blocks of a set that are compared to keep its pairs from coming up again
 
@@ -98,14 +99,19 @@ def signatures(u: np.ndarray, bounds: Bounds) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def sketch(u: np.ndarray) -> list[int]:
-    """256 parities of n-gram counts: two sets differ in at least as many n-grams as parities."""
-    odd = np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def sketch(u: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Parities of n-gram counts: two sets differ in at least as many n-grams as parities."""
+    odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-ENTRY = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64()), ("sigs", pa.list_(pa.int64()))])
-ENTRY_SQL = "k long, n long, s long, p0 long, p1 long, p2 long, p3 long, sigs array<long>"
+ENTRY = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64()), ("wide", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
+ENTRY_SQL = "k long, n long, s long, p0 long, p1 long, p2 long, p3 long, wide array<long>, sigs array<long>"
+
+
+def _lists(arrays: tuple[np.ndarray, ...]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(x) for x in arrays])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
 
 
 def _listed(width: int, t: Fraction):
@@ -118,13 +124,11 @@ def _listed(width: int, t: Fraction):
                 for u in sets(texts, width):
                     if len(u):
                         s = np.uint64(xxhash.xxh3_64_intdigest(u.tobytes())).astype(np.int64)
-                        out.append((next(keys), len(u), int(s), *sketch(u), signatures(u, bounds).view(np.int64)))
+                        out.append((next(keys), len(u), int(s), *sketch(u).tolist(), sketch(u, WIDE_BITS), signatures(u, bounds).view(np.int64)))
                     else:
-                        out.append((next(keys), 0, 0, 0, 0, 0, 0, np.zeros(0, np.int64)))
+                        out.append((next(keys), 0, 0, 0, 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 columns = list(zip(*out, strict=True))
-                offsets = np.r_[0, np.cumsum([len(x) for x in columns[-1]])].astype(np.int32)
-                arrays = [pa.array(c, pa.int64()) for c in columns[:-1]]
-                yield pa.record_batch([*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(columns[-1])))], schema=ENTRY)
+                yield pa.record_batch([*[pa.array(c, pa.int64()) for c in columns[:-2]], *map(_lists, columns[-2:])], schema=ENTRY)
 
     return rows
 
@@ -183,7 +187,7 @@ class Join:
         self.rows, self.scratch, self.width, self.t = rows, scratch, width, t
         self.entries = scratch.table(rows.mapInArrow(_listed(width, t), ENTRY_SQL), "entries")
         # a row for each set: its least key, its size and its parities
-        some = self.entries.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(4)])
+        some = self.entries.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(4)], F.first("wide").alias("wide"))
         self.sets = scratch.table(some, "sets")
 
     def _listings(self) -> DataFrame:
@@ -192,9 +196,9 @@ class Join:
     def _candidates(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and parities do not rule out a link."""
         num, den = self.t.numerator, self.t.denominator
-        side = lambda c: self.sets.select(F.col("s").alias(c), F.col("k").alias(f"k{c}"), F.col("n").alias(f"n{c}"), *[F.col(f"p{i}").alias(f"p{i}{c}") for i in range(4)])
+        side = lambda c: self.sets.select(F.col("s").alias(c), F.col("k").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"wide{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        odd = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(4)), F.lit(0))
+        odd = F.aggregate(F.zip_with("widea", "wideb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         small, large = F.least("na", "nb"), F.greatest("na", "nb")
         # with d n-grams that differ: common = (na + nb - d) / 2
         possible = (small * den >= large * num) & ((F.col("na") + F.col("nb") - odd) * (num + den) >= (F.col("na") + F.col("nb")) * 2 * num)
@@ -209,8 +213,16 @@ class Join:
         # rows of one key have one text: any of them stands for the set
         texts = self.rows.join(F.broadcast(wanted) if few else wanted, "k").select("s", "text")
         grams = self.scratch.table(texts.mapInArrow(_rows_of(self.width), "s long, grams array<long>").dropDuplicates(["s"]), f"{name}-grams")
-        pairs = candidates.select("a", "b").join(grams.select(F.col("s").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("s").alias("b"), F.col("grams").alias("gb")), "b")
-        return self.scratch.table(pairs.mapInArrow(_product(self.t), "a long, b long"), f"{name}-links")
+        links = None
+        for g in range(PASSES):  # the rows of one pass are on disk at a time
+            pairs = candidates.where(F.pmod("a", F.lit(PASSES)) == g).select("a", "b")
+            left = grams.where(F.pmod("s", F.lit(PASSES)) == g).select(F.col("s").alias("a"), F.col("grams").alias("ga"))
+            pairs = pairs.join(left, "a").join(grams.select(F.col("s").alias("b"), F.col("grams").alias("gb")), "b")
+            some = self.scratch.table(pairs.mapInArrow(_product(self.t), "a long, b long"), f"{name}-links-{g}")
+            links = some if links is None else links.union(some)
+            self.scratch.release()
+        self.scratch.drop(f"{name}-candidates", f"{name}-wanted", f"{name}-grams")
+        return links
 
     def classes(self) -> DataFrame:
         """(s, component): the component, named by its least set, of each set that has links."""
@@ -235,7 +247,7 @@ class Join:
         open_ = scratch.table(open_, "open")
         named = scratch.table(named.join(open_, "sig"), "open-named")
         low = scratch.table(named.groupBy("s").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LOW_BLOCKS).alias("low")), "low")
-        side = scratch.table(named.join(self.sets.drop("k"), "s").join(low, "s"), "open-members")
+        side = scratch.table(named.join(self.sets.drop("k", "wide"), "s").join(low, "s"), "open-members")
         a = side.select("sig", F.col("s").alias("a"), F.col("low").alias("lowa"), F.col("component").alias("ca"), F.col("n").alias("na"), *[F.col(f"p{i}").alias(f"p{i}a") for i in range(4)])
         b = side.select("sig", F.col("s").alias("b"), F.col("low").alias("lowb"), F.col("component").alias("cb"), F.col("n").alias("nb"), *[F.col(f"p{i}").alias(f"p{i}b") for i in range(4)])
         num, den = self.t.numerator, self.t.denominator

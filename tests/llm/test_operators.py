@@ -216,7 +216,7 @@ def test_op6_signatures():
             common, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
             linked = common * t.denominator >= union * t.numerator
             assert overlaps([a], [b], t)[0] == linked
-            odd = sum(bin((x ^ y) % (1 << 64)).count("1") for x, y in zip(sketch(a), sketch(b), strict=True))
+            odd = sum(bin((x ^ y) % (1 << 64)).count("1") for x, y in zip(sketch(a).tolist(), sketch(b).tolist(), strict=True))
             assert odd <= union - common
             if linked:
                 assert len(np.intersect1d(signatures(a, bounds), signatures(b, bounds)))
