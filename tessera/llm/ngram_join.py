@@ -15,6 +15,11 @@ formed.  First each set is held against the least set of its row block.  When
 the links have been joined to components, the pairs of a row block that lie in
 different components are held against each other, so no link between two
 components is lost.  Sets are nodes: copies of one set never form pairs.
+
+Links are counted apart: both ends of a link lie in one component, so the sets of
+each component are dealt into blocks and the product of each pair of blocks is
+computed whole.  Only sums for each set leave a product, never pairs, but the time
+it takes grows with the square of the different sets of a component.
 """
 
 from __future__ import annotations
@@ -41,6 +46,9 @@ WIDE_BITS = 1024  # parities that candidates are held to before their sets are f
 PASSES = 4  # parts of the column blocks, and of the pairs, that are taken one after the other, to bound the disk in use
 BROADCAST_IDS = 1_000_000
 LOW_BLOCKS = 32  # row blocks of a set that are compared to keep its pairs from coming up again
+BLOCK_SETS = 512  # sets and n-grams, on average, of a block of one component whose links are counted
+BLOCK_GRAMS = 1 << 18
+DENSE = 64  # an n-gram is multiplied as a dense column if this part of the block's pairs, or more, share it
 
 
 class Bounds:
@@ -180,6 +188,67 @@ def _product(t: Fraction):
     return rows
 
 
+def common_counts(la: np.ndarray, ga: np.ndarray, lb: np.ndarray, gb: np.ndarray) -> np.ndarray:
+    """How many n-grams each set of one block has in common with each of another (sizes of the sets, n-grams one set after the other)."""
+    na, nb = len(la), len(lb)
+    row_a, row_b = np.repeat(np.arange(na), la), np.repeat(np.arange(nb), lb)
+    grams, column = np.unique(np.concatenate([ga, gb]), return_inverse=True)
+    col_a, col_b = column[: len(ga)], column[len(ga) :]
+    in_a, in_b = np.bincount(col_a, minlength=len(grams)), np.bincount(col_b, minlength=len(grams))
+    pairs, out = in_a * in_b, np.zeros((na, nb), np.int64)
+    dense = pairs * DENSE >= na * nb
+    many = np.flatnonzero(dense)
+    for at in range(0, len(many), 4096):
+        place = np.full(len(grams), -1)
+        place[many[at : at + 4096]] = np.arange(len(many[at : at + 4096]))
+        sides = []
+        for n, row, col in ((na, row_a, col_a), (nb, row_b, col_b)):
+            x, some = np.zeros((n, len(many[at : at + 4096])), np.float32), place[col] >= 0
+            x[row[some], place[col[some]]] = 1
+            sides.append(x)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    some = np.flatnonzero(((pairs > 0) & ~dense)[col_a])
+    row_b, begins = row_b[np.argsort(col_b, kind="stable")], np.r_[0, np.cumsum(in_b)]
+    ends = np.cumsum(in_b[col_a[some]])
+    at = 0
+    while at < len(some):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 22), "right")))
+        rows, cols = row_a[some[at:stop]], col_a[some[at:stop]]
+        n = in_b[cols]
+        each = np.repeat(begins[cols], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(rows, n) * nb + row_b[each], minlength=na * nb).reshape(na, nb)
+        at = stop
+    return out
+
+
+def _block(members: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """Identifiers, weights and sizes of the sets of a block, and their n-grams one set after the other."""
+    s, w, grams = members.flatten()
+    return s.to_numpy(), w.to_numpy(), np.diff(grams.offsets.to_numpy()), grams.flatten().to_numpy()
+
+
+def _sums(t: Fraction, *sides: str):
+    """For each set of one or two blocks of a component, the weights of the sets of the other, or of the same one, that it is linked with."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                blocks = [_block(batch.column(c)[i].values) for c in sides]
+                (sa, wa, la, ga), (sb, wb, lb, gb) = blocks[0], blocks[-1]
+                linked = common_counts(la, ga, lb, gb) * (t.numerator + t.denominator) >= (la[:, None] + lb[None, :]) * t.numerator
+                if len(sides) == 1:
+                    np.fill_diagonal(linked, False)
+                else:
+                    ids.append(sb)
+                    sums.append(wa @ linked)
+                ids.append(sa)
+                sums.append(linked @ wb)
+            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums))], names=["s", "links"])
+
+    return rows
+
+
 class Join:
     """One run of the join over ``docs`` (k: a key of the row, text)."""
 
@@ -204,15 +273,19 @@ class Join:
         possible = (small * den >= large * num) & ((F.col("na") + F.col("nb") - odd) * (num + den) >= (F.col("na") + F.col("nb")) * 2 * num)
         return both.where(possible).select("a", "b", "ka", "kb")
 
-    def _verify(self, candidates: DataFrame, name: str) -> DataFrame:
-        """The candidates (a, b, ka, kb) that are linked."""
-        candidates = self.scratch.table(candidates, f"{name}-candidates")
-        wanted = candidates.select(F.col("a").alias("s"), F.col("ka").alias("k")).union(candidates.select("b", "kb")).distinct()
+    def _grams(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(s, grams) for each of ``wanted`` (s, k: a key of the set)."""
         wanted = self.scratch.table(wanted, f"{name}-wanted")
         few = wanted.count() <= BROADCAST_IDS
         # rows of one key have one text: any of them stands for the set
         texts = self.rows.join(F.broadcast(wanted) if few else wanted, "k").select("s", "text")
-        grams = self.scratch.table(texts.mapInArrow(_rows_of(self.width), "s long, grams array<long>").dropDuplicates(["s"]), f"{name}-grams")
+        return self.scratch.table(texts.mapInArrow(_rows_of(self.width), "s long, grams array<long>").dropDuplicates(["s"]), f"{name}-grams")
+
+    def _verify(self, candidates: DataFrame, name: str) -> DataFrame:
+        """The candidates (a, b, ka, kb) that are linked."""
+        candidates = self.scratch.table(candidates, f"{name}-candidates")
+        wanted = candidates.select(F.col("a").alias("s"), F.col("ka").alias("k")).union(candidates.select("b", "kb")).distinct()
+        grams = self._grams(wanted, name)
         links = None
         for g in range(PASSES):  # the rows of one pass are on disk at a time
             pairs = candidates.where(F.pmod("a", F.lit(PASSES)) == g).select("a", "b")
@@ -263,6 +336,31 @@ class Join:
             return found
         return scratch.table(components(links.union(more), scratch, "second"), "second-found")
 
+    def links(self, found: DataFrame) -> DataFrame:
+        """(s, rows, links): for each set, its rows and the rows of the other sets that it is linked with; ``found`` is what classes() gave."""
+        scratch = self.scratch
+        rows = scratch.table(self.entries.where("n > 0").groupBy("s").agg(F.count("*").alias("rows")), "rows")
+        sized = found.withColumnRenamed("node", "s").join(self.sets.select("s", "k", "n"), "s").join(rows, "s")
+        sized = scratch.table(sized, "sized")
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS))
+        blocks = scratch.table(sized.groupBy("component").agg(blocks.alias("blocks")), "counted")
+        dealt = sized.join(blocks, "component").select("s", "rows", "component", "blocks", F.pmod(F.xxhash64("s"), F.col("blocks")).alias("i"))
+        grams = self._grams(sized.select("s", "k"), "links")
+        packed = grams.join(dealt, "s").groupBy("component", "blocks", "i").agg(F.collect_list(F.struct("s", "rows", "grams")).alias("a"))
+        packed = scratch.table(packed, "packed")
+        scratch.drop("links-grams", "links-wanted")
+        scratch.release()
+        sums = scratch.table(packed.select("a").mapInArrow(_sums(self.t, "a"), "s long, links long"), "sums")
+        left = packed.where("i + 1 < blocks").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)))
+        right = packed.where("blocks > 1").select("component", F.col("i").alias("j"), F.col("a").alias("b"))
+        for g in range(PASSES):  # the pairs of blocks of one pass are on disk at a time
+            cells = left.where(F.pmod(F.xxhash64("component", "i", "j"), F.lit(PASSES)) == g).select("component", "j", "a")
+            some = cells.join(right, ["component", "j"]).select("a", "b").mapInArrow(_sums(self.t, "a", "b"), "s long, links long")
+            sums = sums.union(scratch.table(some.groupBy("s").agg(F.sum("links").alias("links")), f"sums-{g}"))
+            scratch.release()
+        scratch.drop("packed", "sized", "counted")
+        return rows.join(sums.groupBy("s").agg(F.sum("links").alias("links")), "s", "left").select("s", "rows", F.coalesce("links", F.lit(0)).alias("links"))
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """A key of id and text, and the text, for each row."""
@@ -270,19 +368,36 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_k", F.xxhash64("doc_id", text, F.octet_length(text)))
 
 
-def classify_keys(rows: DataFrame, scratch: Scratch, width: int, t: Fraction) -> DataFrame:
-    """(k, id, copies, _n, _class) for each distinct key of ``rows`` (k, text, id).
+def classify_keys(rows: DataFrame, scratch: Scratch, width: int, t: Fraction, counted: bool = False) -> DataFrame:
+    """(k, id, copies, _n, _class) for each distinct key of ``rows`` (k, text, id), and _links if ``counted``.
 
     _n is the size of the set.  Keys of one class reach each other by links or have
     one set; sets without n-grams have the null class and are linked with nothing.
     ``copies`` is the number of rows of the key, which are equal in id and text.
+    _links is the number of other rows that a row of the key is linked with.
     """
     join = Join(rows.select("k", "text"), scratch, width, t)
     found = join.classes()
     ids = rows.groupBy("k").agg(F.first("id").alias("id"), F.count("*").alias("copies"))
     entries = join.entries.select("k", "n", "s").dropDuplicates(["k"]).join(ids, "k")
     named = entries.join(found.select(F.col("node").alias("s"), "component"), "s", "left")
-    return scratch.table(named.select("k", "id", "copies", F.col("n").alias("_n"), F.when(F.col("n") > 0, F.coalesce("component", "s")).alias("_class")), "named-keys")
+    columns = ["k", "id", "copies", F.col("n").alias("_n"), F.when(F.col("n") > 0, F.coalesce("component", "s")).alias("_class")]
+    if counted:
+        links = scratch.table(join.links(found), "links")
+        named = named.join(links, "s", "left")
+        columns.append(F.coalesce(F.col("rows") - 1 + F.col("links"), F.lit(0)).alias("_links"))
+    return scratch.table(named.select(*columns), "named-keys")
+
+
+def _linked(docs: DataFrame, width: int, t: Fraction, counted: bool) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "linked")
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    classed = classify_keys(rows.select(F.col("_k").alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id")), scratch, width, t, counted)
+    least = classed.where("_class is not null").groupBy("_class").agg(F.min("id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = scratch.table(least, "classes")
+    out = classed.join(least, "_class", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    found = [F.col("id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    return out.select(*found, *[F.col("_links").alias("n_links")] * counted)
 
 
 def link_documents(docs: DataFrame, width: int = 3, t: Fraction = Fraction(9, 10)) -> DataFrame:
@@ -294,13 +409,16 @@ def link_documents(docs: DataFrame, width: int = 3, t: Fraction = Fraction(9, 10
     give repeated results; rows without an id can be in a component and have none of
     their own if alone.  An empty table gives an empty result; other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "linked")
-    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    classed = classify_keys(rows.select(F.col("_k").alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id")), scratch, width, t)
-    least = classed.where("_class is not null").groupBy("_class").agg(F.min("id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    least = scratch.table(least, "classes")
-    out = classed.join(least, "_class", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select(F.col("id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return _linked(docs, width, t, False)
+
+
+def count_links(docs: DataFrame, width: int = 3, t: Fraction = Fraction(9, 10)) -> DataFrame:
+    """The rows of ``link_documents`` with n_links: how many other rows the document is linked with.
+
+    Every link counts, those between members of one component too; rows that are
+    equal in id and text count each.
+    """
+    return _linked(docs, width, t, True)
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:

@@ -51,6 +51,12 @@ def components(rows, width, num, den):
     return [(i, len(found[k]), least.get(root(k))) for k, (i, _) in enumerate(rows)]
 
 
+def links(rows, width, num, den):
+    """How many other rows each row is linked with."""
+    found = [shingles(t, width) for _, t in rows]
+    return [sum(b != a and bool(x) and den * len(x & y) >= num * len(x | y) for b, y in enumerate(found)) for a, x in enumerate(found)]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -198,6 +198,33 @@ def test_op6(docs, rows, none, width, num, den):
     assert link_documents(none).count() == 0 and keep_one_of_each(none).count() == 0
 
 
+@pytest.mark.parametrize(("width", "num", "den", "sets"), [(3, 9, 10, 512), (3, 9, 10, 3), (5, 4, 5, 2)])
+def test_op6_links(spark, docs, rows, none, monkeypatch, width, num, den, sets):
+    """All links count, whether a component is one block or many; equal rows and sets count each."""
+    from fractions import Fraction
+
+    from tessera.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+    got = [tuple(r) for r in ngram_join.count_links(docs, width, Fraction(num, den)).collect()]
+    want = [(*c, n) for c, n in zip(plain.components(rows, width, num, den), plain.links(rows, width, num, den), strict=True)]
+    same(got, want)
+    assert max(n for *_, n in want) > 10 and len({n for i, *_, n in want if i and 100 <= i < 112}) > 1  # not all of a component
+    assert ngram_join.count_links(none).count() == 0
+
+
+def test_op6_product(monkeypatch):
+    from tessera.llm import ngram_join
+
+    rng = np.random.default_rng(5)
+    a, b = ([np.unique(rng.integers(0, 90, rng.integers(1, 40))) for _ in range(n)] for n in (30, 17))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    for part in (1, 8, 64):  # few, some and most columns dense
+        monkeypatch.setattr(ngram_join, "DENSE", part)
+        got = ngram_join.common_counts(np.array([len(x) for x in a]), np.concatenate(a), np.array([len(x) for x in b]), np.concatenate(b))
+        assert got.tolist() == want
+
+
 def test_op6_signatures():
     """Linked sets share an identifier, whatever their sizes."""
     from fractions import Fraction
