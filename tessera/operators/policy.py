@@ -109,17 +109,20 @@ def last_events(traces: DataFrame, n: int = 12) -> DataFrame:
     return traces.orderBy(F.desc("seq")).limit(n)
 
 
-def process_tree(events: DataFrame, levels: int = 16) -> DataFrame:
+def process_tree(events: DataFrame) -> DataFrame:
     """(sandbox, pid, depth, path): each process under its first EXEC, the path by order of arrival, so sorting by it draws the tree.
 
-    Ancestors are followed for at most ``levels`` steps; what is deeper is cut off there.
+    A process is under its parent if that is not 0 and started before it, else it is a root.
+    Ancestors are followed by pointer jumping to the root, however far it is.
     """
     first = events.where(F.col("event_type") == EXEC).groupBy("sandbox", "pid").agg(F.min("seq").alias("seq"), F.min_by("ppid", "seq").alias("ppid"))
-    label = F.lpad(F.col("seq").cast("string"), 12, "0")
-    state = first.select("sandbox", "pid", F.col("seq"), F.col("ppid").alias("up"), label.alias("path"), F.lit(0).alias("depth"))
-    above = first.select("sandbox", F.col("pid").alias("up"), F.col("ppid").alias("_up"), label.alias("_path"), F.col("seq").alias("_seq"))
-    for _ in range(levels):
+    parents = first.select("sandbox", F.col("pid").alias("ppid"), F.col("seq").alias("_seq"))
+    found = first.join(parents, ["sandbox", "ppid"], "left")
+    # path: the process and its ancestors below ``up``
+    state = cut(found.select("sandbox", "pid", F.when((F.col("_seq") < F.col("seq")) & (F.col("ppid") != 0), F.col("ppid")).alias("up"), F.lpad(F.col("seq").cast("string"), 12, "0").alias("path"), F.lit(0).alias("depth")))
+    while not state.where("up is not null").isEmpty():
+        above = state.select("sandbox", F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
         step = state.join(above, ["sandbox", "up"], "left")
-        older = F.col("_seq") < F.substring("path", 1, 12).cast("bigint")
-        state = step.select("sandbox", "pid", "seq", F.when(older, F.col("_up")).alias("up"), F.when(older, F.concat_ws("/", "_path", "path")).otherwise(F.col("path")).alias("path"), (F.col("depth") + F.coalesce(older, F.lit(False)).cast("int")).alias("depth"))
+        linked = F.col("up").isNotNull().cast("int")
+        state = cut(step.select("sandbox", "pid", F.col("_up").alias("up"), F.concat_ws("/", "_path", "path").alias("path"), (F.col("depth") + F.coalesce("_depth", F.lit(0)) + linked).alias("depth")))
     return state.select("sandbox", "pid", "depth", "path")

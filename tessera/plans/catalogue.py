@@ -269,6 +269,10 @@ def policy_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
+def policy_process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.process_tree(E.from_table(spark, sf_dir))
+
+
 def policy_stream_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming form of the taint, run over the whole table as one trigger."""
     from tessera.streaming.policy_stream import run_once
@@ -276,7 +280,7 @@ def policy_stream_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(spark, E.from_table(spark, sf_dir)).select("sandbox", "seq", "pid", "is_preinstall")
 
 
-QUERIES |= {"policy_classify": policy_classify, "policy_taint": policy_taint, "policy_violations": policy_violations, "policy_batches64": policy_batches64, "policy_killswitch": policy_killswitch, "policy_counters": policy_counters, "policy_last_events": policy_last_events, "policy_processes": policy_processes, "policy_stream_taint": policy_stream_taint}
+QUERIES |= {"policy_classify": policy_classify, "policy_taint": policy_taint, "policy_violations": policy_violations, "policy_batches64": policy_batches64, "policy_killswitch": policy_killswitch, "policy_counters": policy_counters, "policy_last_events": policy_last_events, "policy_processes": policy_processes, "policy_process_tree": policy_process_tree, "policy_stream_taint": policy_stream_taint}
 ORACLES |= {
     "policy_classify": f"WITH {_CLASSIFIED_SQL} SELECT sandbox, seq, CAST(event_type AS INTEGER) AS event_type, is_sensitive, is_unauthorized FROM cl",
     "policy_taint": f"{_TRACES_SQL} SELECT sandbox, seq, pid, is_preinstall FROM tr",
@@ -286,6 +290,12 @@ ORACLES |= {
     "policy_counters": f"{_TRACES_SQL} SELECT sandbox, count(*) FILTER (WHERE event_type = 1) AS execs, count(*) FILTER (WHERE event_type = 2) AS opens, count(*) FILTER (WHERE event_type = 3) AS connects, count(*) FILTER (WHERE {_VIOLATES_SQL}) AS violations FROM tr GROUP BY 1",
     "policy_last_events": f"{_TRACES_SQL} SELECT seq, sandbox, event_type, is_preinstall FROM tr ORDER BY seq DESC LIMIT 12",
     "policy_processes": f"WITH ev AS ({E.FROM_TABLE}) SELECT sandbox, pid, seq, ppid, comm FROM ev WHERE event_type = 1 QUALIFY row_number() OVER (PARTITION BY sandbox, pid ORDER BY seq) = 1",
+    "policy_process_tree": f"""WITH RECURSIVE ev AS ({E.FROM_TABLE}),
+fe AS (SELECT sandbox, pid, seq, ppid FROM ev WHERE event_type = 1 QUALIFY row_number() OVER (PARTITION BY sandbox, pid ORDER BY seq) = 1),
+under AS (SELECT c.sandbox, c.pid, c.seq, p.pid AS up FROM fe c LEFT JOIN fe p ON p.sandbox = c.sandbox AND p.pid = c.ppid AND c.ppid <> 0 AND p.seq < c.seq),
+tree AS (SELECT sandbox, pid, 0 AS depth, lpad(CAST(seq AS VARCHAR), 12, '0') AS path FROM under WHERE up IS NULL
+ UNION ALL SELECT u.sandbox, u.pid, t.depth + 1, t.path || '/' || lpad(CAST(u.seq AS VARCHAR), 12, '0') FROM under u JOIN tree t ON t.sandbox = u.sandbox AND t.pid = u.up)
+SELECT sandbox, pid, CAST(depth AS INTEGER) AS depth, path FROM tree""",
     "policy_stream_taint": f"{_TRACES_SQL} SELECT sandbox, seq, pid, is_preinstall FROM tr",
 }
 

@@ -64,6 +64,16 @@ def test_batches_tree_and_literals(spark):
     assert policy.last_events(traces).count() == 12
 
 
+def test_deep_tree(spark):
+    """A chain of 41 below a process of its own start is one tree, beside a process whose parent starts later."""
+    chain = [(0, i, 1, 100 + i, 99 + i if i else 1, "sh", None, 0, 0) for i in range(41)]
+    rows = spark.createDataFrame([*chain, (0, 41, 1, 300, 301, "sh", None, 0, 0), (0, 42, 1, 301, 140, "sh", None, 0, 0), (1, 0, 1, 140, 140, "sh", None, 0, 0)], EVENT_SQL)
+    got = {(r.sandbox, r.pid): (r.depth, r.path) for r in policy.process_tree(rows).collect()}
+    label = lambda *seqs: "/".join(f"{x:012}" for x in seqs)
+    want = {(0, 100 + i): (i, label(*range(i + 1))) for i in range(41)}
+    assert got == want | {(0, 300): (0, label(41)), (0, 301): (41, label(*range(41), 42)), (1, 140): (0, label(0))}
+
+
 @pytest.mark.parametrize("flag", [0, 1])
 def test_stream_control_and_kill_switch(spark, tmp_path, flag):
     rows = [(0, 1, REGISTER, 50, 0, None, None, flag, 0), (0, 2, 3, 50, 1, "x", None, 1, 1), (0, 3, UNREGISTER, 50, 0, None, None, 0, 0), (0, 4, 3, 50, 1, "x", None, 1, 1)]
