@@ -1,10 +1,16 @@
 """Benchmark decontamination (operator 7).
 
-Rare word n-grams of the test items are seeds.  How rare an n-gram is follows
-from how often its words occur in the whole corpus, not from how often it occurs
-itself: an item that leaked into a third of all documents still has rare seeds.
-A document that holds a seed is aligned with the item around it by
-Smith-Waterman over words, which finds edited and paraphrased copies.
+Seeds are pairs of words of a test item that are neighbours or have one word
+between them, and they are looked up in the same pairs of a document.  Between two
+matches of an alignment that follow each other with one edit or none, the words
+are such a pair on both sides, and an alignment that is a leak has at least
+``LEAST`` times the item's words, less one, of them: with m matches and x edits,
+2 m - x >= 2 LEAST n, and at most x / 2 of the m - 1 steps have two edits or more.
+Where so many places of an item have seeds in a stretch of the document that an
+alignment can cover, the stretch is aligned with the item by Smith-Waterman over
+words.  So all that the alignment accepts is reached, whatever the corpus.  The most
+common pairs of an item are left out, and the number that is asked for is lowered by
+as many; how common a pair is follows from how often its words occur.
 
 The items are a query set.  They are taken to the tasks in blocks of a bounded
 number of words, each block against all documents; nothing is shuffled but word
@@ -26,8 +32,8 @@ from tessera.llm.rows import unwrapped, wrapped
 from tessera.llm.scratch import Scratch
 from tessera.llm.shingles import raw, slices
 
-SEED = 3  # words in a seed
-RARE = 1.0  # occurrences that chance would give a seed in the corpus, at most
+LEAST_WORDS = 3  # of an item
+STEPS = (1, 2)  # from the first to the second word of a seed
 LEAST = 0.4  # share of the score of an exact copy from which an alignment is a leak
 MATCH, MISMATCH, GAP = 2, 1, 1
 BLOCK_WORDS = 500_000
@@ -52,13 +58,10 @@ def words(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return Stretches(_LOWER[data]).ids(start, stop), np.r_[0, np.searchsorted(start, ends)]
 
 
-def grams(h: np.ndarray) -> np.ndarray:
-    """Hashes of the n-grams that begin at each word but the last ones."""
-    n = max(0, len(h) - SEED + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(SEED):
-        out = mix(out + h[j : j + n])
-    return out
+def pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of words, and the place of the first word of each."""
+    found = [mix(mix(h[: max(0, len(h) - d)]) + h[d:]) for d in STEPS]
+    return np.concatenate(found), np.concatenate([np.arange(len(x)) for x in found])
 
 
 @dataclass
@@ -69,9 +72,11 @@ class Item:
 
 @dataclass
 class Block:
-    """Items and their seeds: sorted hashes, and the item and place that each is of."""
+    """Items and their seeds: sorted hashes, and the item and place that each is of; for each item the places that must have seeds, and the words that an alignment covers at most."""
 
     items: list[Item]
+    need: np.ndarray
+    span: np.ndarray
     seeds: np.ndarray
     owner: np.ndarray
     place: np.ndarray
@@ -83,19 +88,26 @@ class Block:
 
 
 def seeded(items: list[Item], counts: dict[int, int], total: int) -> Block:
-    """Seeds: n-grams that chance would give at most ``RARE`` times, and in any case the rarer half of an item's."""
+    """Seeds: the pairs at all places of an item but the most common, which are less than half of what an alignment must have."""
     seeds, owner, place = [], [], []
+    need, span = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
     for i, item in enumerate(items):
+        n = len(item.words)
         p = np.array([max(1, counts.get(int(w), 0)) / max(1, total) for w in item.words])
-        n = len(p) - SEED + 1
-        expected = np.log(max(1, total)) + sum(np.log(p[j : j + n]) for j in range(SEED))
-        chosen = np.flatnonzero((expected <= np.log(RARE)) | (expected <= np.median(expected)))
-        seeds.append(grams(item.words)[chosen])
-        owner.append(np.full(len(chosen), i))
-        place.append(chosen)
+        follow = p[1:].copy()
+        follow[:-1] += p[2:]
+        least = max(1, int(np.ceil(LEAST * n - 1 - 1e-9)))
+        lost = (least - 1) // 2
+        need[i], span[i] = least - lost, int(np.ceil((3 - 2 * LEAST) * n))
+        kept = np.zeros(n, bool)
+        kept[np.argsort(p[:-1] * follow, kind="stable")[: n - 1 - lost]] = True
+        hashes, at = pairs(item.words)
+        seeds.append(hashes[kept[at]])
+        owner.append(np.full(len(seeds[-1]), i))
+        place.append(at[kept[at]])
     every = np.concatenate([np.zeros(0, np.uint64), *seeds])
     order = np.argsort(every, kind="stable")
-    return Block(items, every[order], np.concatenate([np.zeros(0, np.int64), *owner])[order], np.concatenate([np.zeros(0, np.int64), *place])[order])
+    return Block(items, need, span, every[order], np.concatenate([np.zeros(0, np.int64), *owner])[order], np.concatenate([np.zeros(0, np.int64), *place])[order])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -116,33 +128,37 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
 
 def matches(h: np.ndarray, block: Block, table: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, first word, word after the last) of each item that leaked into the words ``h``."""
-    g = grams(h)
-    at = np.flatnonzero(table[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-    if not len(at):
-        return
-    low, high = np.searchsorted(block.seeds, g[at], "left"), np.searchsorted(block.seeds, g[at], "right")
+    g, at = pairs(h)
+    some = np.flatnonzero(table[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+    g, at = g[some], at[some]
+    low, high = np.searchsorted(block.seeds, g, "left"), np.searchsorted(block.seeds, g, "right")
     n = high - low
     if not n.sum():
         return
     which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    owner, start = block.owner[which], np.repeat(at, n) - block.place[which]
-    order = np.lexsort((start, owner))
-    owner, start = owner[order], start[order]
+    owner, place, at = block.owner[which], block.place[which], np.repeat(at, n)
+    key = owner * (len(h) + int(block.span.max()) + 1) + at
+    order = np.argsort(key, kind="stable")
+    owner, place, at, key = owner[order], place[order], at[order], key[order]
+    stop = np.searchsorted(key, key + block.span[owner], "left")
+    stretches: list[list[int]] = []  # item, first word, word after the last
+    for k in np.flatnonzero(stop - np.arange(len(key)) >= block.need[owner]).tolist():
+        o, e = int(owner[k]), int(stop[k])
+        if len(set(place[k:e].tolist())) < block.need[o]:
+            continue
+        size = int(block.span[o])
+        a, b = max(0, int(at[k]) + 1 - size), min(len(h), int(at[k]) + size + max(STEPS))
+        if stretches and stretches[-1][0] == o and a <= stretches[-1][2]:
+            stretches[-1][2] = max(b, stretches[-1][2])
+        else:
+            stretches.append([o, a, b])
     best: dict[int, tuple[float, int, int]] = {}
-    i = 0
-    while i < len(owner):
-        o, first = int(owner[i]), int(start[i])
+    for o, a, b in stretches:
         item = block.items[o].words
-        size, j = len(item), i
-        while j < len(owner) and owner[j] == o and start[j] - first <= size:
-            j += 1
-        slack = size // 2 + SEED
-        a, b = max(0, first - slack), min(len(h), int(start[j - 1]) + size + slack)
         score, end = align(item, h[a:b])
         if score >= LEAST and score > best.get(o, (0.0, 0, 0))[0]:
             back, length = align(item[::-1], h[a : a + end][::-1])
             best[o] = (score, a + end - length, a + end)
-        i = j
     for o, (score, a, b) in best.items():
         yield o, score, a, b
 
@@ -172,7 +188,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
     size = 0
     for row in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
         h, _ = words([np.frombuffer(row.text.encode(), np.uint8)])
-        if len(h) < SEED:
+        if len(h) < LEAST_WORDS:
             continue
         held.append(Item(row.item_id, h))
         size += len(h)

@@ -273,6 +273,31 @@ def test_op7(spark, docs, none):
         assert align(a, b)[0] == plain.align(a.tolist(), b.tolist())
 
 
+def test_op7_edits():
+    """Whatever the alignment accepts is found, with no three words in a row intact and with common words."""
+    from tessera.llm.decontaminate import LEAST, Item, align, matches, seeded
+
+    rng = np.random.default_rng(8)
+    new = lambda n: rng.integers(1 << 40, 1 << 60, n).astype(np.uint64)
+    items = [Item(k, rng.integers(0, 300, n).astype(np.uint64)) for k, n in enumerate([3, 4, 5, 8, 12, 20, 33, 60])]
+    block = seeded(items, {int(w): 10**6 for w in range(150)}, 10**9)
+    table, reached = block.table(), 0
+    for k, item in enumerate(items):
+        edited = [np.where(np.arange(len(item.words)) % 3 == off, new(len(item.words)), item.words) for off in range(3)]  # each third word replaced
+        edited.append(np.stack([item.words, new(len(item.words))], 1).ravel()[:-1])  # a word put in after each
+        for _ in range(60):
+            kind, rate = rng.integers(0, 4, len(item.words)), rng.random() * 0.7
+            some = rng.random(len(item.words)) < rate
+            edited.append(np.concatenate([np.zeros(0, np.uint64), *[x[:0] if e and c == 0 else new(1) if e and c == 1 else np.r_[x, new(1)] if e and c == 2 else x for x, c, e in zip(np.split(item.words, len(item.words)), kind, some, strict=True)]]))
+        for x in edited:
+            text = np.concatenate([rng.integers(0, 300, 40).astype(np.uint64), x, rng.integers(0, 300, 40).astype(np.uint64)])
+            want = align(item.words, text)[0]
+            got = {o: score for o, score, *_ in matches(text, block, table)}
+            assert got.get(k, 0.0) == (want if want >= LEAST else 0.0)
+            reached += want >= LEAST
+    assert reached > 200
+
+
 def test_op8(spark, none):
     from tessera.llm.importance import keep_selected, sample_documents
 
