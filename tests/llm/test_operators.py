@@ -298,6 +298,18 @@ def test_op7_edits():
     assert reached > 200
 
 
+def test_op7_corpus_size():
+    """A copy whose only intact words are the item's common ones is found in a corpus of any size."""
+    from tessera.llm.decontaminate import Item, align, matches, seeded
+
+    item = np.arange(20, dtype=np.uint64)
+    copy = np.where(np.arange(20) < 10, item, item + np.uint64(1000))  # the rare words are replaced
+    for total in (10**4, 10**7, 10**10):
+        counts = {int(w): total // 100 if w < 10 else 1 for w in item}
+        block = seeded([Item(0, item)], counts, total)
+        assert [x[:2] for x in matches(copy, block, block.table())] == [(0, align(item, copy)[0])]
+
+
 def test_op8(spark, none):
     from tessera.llm.importance import keep_selected, sample_documents
 
