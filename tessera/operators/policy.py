@@ -104,9 +104,15 @@ def counters(traces: DataFrame) -> DataFrame:
     return traces.groupBy("sandbox").agg(F.count_if(kind == EXEC).alias("execs"), F.count_if(kind == OPEN).alias("opens"), F.count_if(kind == CONNECT).alias("connects"), F.count_if(violates()).alias("violations"))
 
 
+def status(traces: DataFrame) -> DataFrame:
+    """(sandbox, traps, vm_status): the hardware traps, and what the last change of state said (null without one)."""
+    kind = F.col("event_type")
+    return traces.groupBy("sandbox").agg(F.count_if(kind == TRAP).alias("traps"), F.max_by(F.when(kind == STATE, F.col("arg")), F.when(kind == STATE, F.col("seq"))).alias("vm_status"))
+
+
 def last_events(traces: DataFrame, n: int = 12) -> DataFrame:
-    """The report of the last ``n`` events."""
-    return traces.orderBy(F.desc("seq")).limit(n)
+    """The report of the last ``n`` events; changes of state are not listed."""
+    return traces.where(~F.col("event_type").eqNullSafe(STATE)).orderBy(F.desc("seq")).limit(n)
 
 
 def process_tree(events: DataFrame) -> DataFrame:

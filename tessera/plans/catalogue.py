@@ -264,6 +264,10 @@ def policy_last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.last_events(_traces(spark, sf_dir)).select("seq", "sandbox", "event_type", "is_preinstall")
 
 
+def policy_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.status(E.from_table(spark, sf_dir))
+
+
 def policy_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = E.from_table(spark, sf_dir).where("event_type = 1").groupBy("sandbox", "pid").agg(F.min("seq").alias("seq"), F.min_by("ppid", "seq").alias("ppid"), F.min_by("comm", "seq").alias("comm"))
     return first
@@ -280,7 +284,7 @@ def policy_stream_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(spark, E.from_table(spark, sf_dir)).select("sandbox", "seq", "pid", "is_preinstall")
 
 
-QUERIES |= {"policy_classify": policy_classify, "policy_taint": policy_taint, "policy_violations": policy_violations, "policy_batches64": policy_batches64, "policy_killswitch": policy_killswitch, "policy_counters": policy_counters, "policy_last_events": policy_last_events, "policy_processes": policy_processes, "policy_process_tree": policy_process_tree, "policy_stream_taint": policy_stream_taint}
+QUERIES |= {"policy_classify": policy_classify, "policy_taint": policy_taint, "policy_violations": policy_violations, "policy_batches64": policy_batches64, "policy_killswitch": policy_killswitch, "policy_counters": policy_counters, "policy_last_events": policy_last_events, "policy_status": policy_status, "policy_processes": policy_processes, "policy_process_tree": policy_process_tree, "policy_stream_taint": policy_stream_taint}
 ORACLES |= {
     "policy_classify": f"WITH {_CLASSIFIED_SQL} SELECT sandbox, seq, CAST(event_type AS INTEGER) AS event_type, is_sensitive, is_unauthorized FROM cl",
     "policy_taint": f"{_TRACES_SQL} SELECT sandbox, seq, pid, is_preinstall FROM tr",
@@ -289,6 +293,7 @@ ORACLES |= {
     "policy_killswitch": f"{_TRACES_SQL}, st AS (SELECT sandbox, min(seq) AS stop FROM tr WHERE {_VIOLATES_SQL} GROUP BY 1) SELECT tr.sandbox, tr.seq FROM tr LEFT JOIN st ON st.sandbox = tr.sandbox WHERE stop IS NULL OR tr.seq <= stop",
     "policy_counters": f"{_TRACES_SQL} SELECT sandbox, count(*) FILTER (WHERE event_type = 1) AS execs, count(*) FILTER (WHERE event_type = 2) AS opens, count(*) FILTER (WHERE event_type = 3) AS connects, count(*) FILTER (WHERE {_VIOLATES_SQL}) AS violations FROM tr GROUP BY 1",
     "policy_last_events": f"{_TRACES_SQL} SELECT seq, sandbox, event_type, is_preinstall FROM tr ORDER BY seq DESC LIMIT 12",
+    "policy_status": f"WITH ev AS ({E.FROM_TABLE}) SELECT sandbox, count(*) FILTER (WHERE event_type = 4) AS traps, arg_max(arg, seq) FILTER (WHERE event_type = 5) AS vm_status FROM ev GROUP BY 1",
     "policy_processes": f"WITH ev AS ({E.FROM_TABLE}) SELECT sandbox, pid, seq, ppid, comm FROM ev WHERE event_type = 1 QUALIFY row_number() OVER (PARTITION BY sandbox, pid ORDER BY seq) = 1",
     "policy_process_tree": f"""WITH RECURSIVE ev AS ({E.FROM_TABLE}),
 fe AS (SELECT sandbox, pid, seq, ppid FROM ev WHERE event_type = 1 QUALIFY row_number() OVER (PARTITION BY sandbox, pid ORDER BY seq) = 1),

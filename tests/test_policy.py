@@ -74,6 +74,13 @@ def test_deep_tree(spark):
     assert got == want | {(0, 300): (0, label(41)), (0, 301): (41, label(*range(41), 42)), (1, 140): (0, label(0))}
 
 
+def test_traps_and_states(spark):
+    rows = [(0, 1, 1, 10, 1, "sh", None, 0, 0), (0, 2, 4, 10, 1, "sh", "0x1", 0, 0), (0, 3, 5, 0, 0, None, "Running", 0, 0), (0, 4, 4, 10, 1, "sh", "0x2", 0, 0), (0, 5, 5, 0, 0, None, "Kill Switch", 0, 0), (1, 6, 2, 10, 1, "sh", "/x", 0, 0)]
+    events = spark.createDataFrame(rows, EVENT_SQL)
+    assert sorted(tuple(r) for r in policy.status(events).collect()) == [(0, 2, "Kill Switch"), (1, 0, None)]
+    assert [r.seq for r in policy.last_events(events, 4).collect()] == [6, 4, 2, 1]
+
+
 @pytest.mark.parametrize("flag", [0, 1])
 def test_stream_control_and_kill_switch(spark, tmp_path, flag):
     rows = [(0, 1, REGISTER, 50, 0, None, None, flag, 0), (0, 2, 3, 50, 1, "x", None, 1, 1), (0, 3, UNREGISTER, 50, 0, None, None, 0, 0), (0, 4, 3, 50, 1, "x", None, 1, 1)]
