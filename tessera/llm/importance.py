@@ -4,7 +4,9 @@ Two generative models over hashed n-grams, one of the target (labelled documents
 of good quality and without toxicity) and one of the raw text (every document),
 give each document the log ratio of its probabilities under both.  Documents are
 sampled by Gumbel top-k: k documents with the greatest log weight plus Gumbel
-noise, which is drawn from a hash of the document, stay.
+noise, which is drawn from a hash of the document, stay.  Toxic documents of good
+quality are left out of the target, but are not poor either: they do not move the
+threshold, and stay where their weight lets them.
 
 Tokens are runs of letters, digits or other signs.  There are three families of
 features: tokens, pairs of tokens, and triples of token shapes (kind, case, and

@@ -329,6 +329,15 @@ def test_op8(spark, none):
     assert sample_documents(none, labels).count() == 0 and keep_selected(none, labels).count() == 0
 
 
+def test_op8_toxic(spark):
+    """Toxic documents of good quality are neither target nor poor, as the docstring says."""
+    from tessera.llm import importance
+
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0), (5, 1, None)], "doc_id long, quality int, toxic int")
+    same([tuple(r) for r in importance.sample_labels(labels).collect()], [(1, True, False), (2, False, False), (3, False, True), (4, False, True), (5, True, False)])
+    assert "not poor either" in importance.__doc__
+
+
 def test_op9(spark, docs, rows, none):
     from tessera.llm.fingerprint import containment, distinct_shingles, fingerprint_documents, merge, resemblance, with_sketch
 
