@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bytehash import Stretches, mix
+from tessera.llm.bytehash import hashes, mix
 from tessera.llm.rows import unwrapped, wrapped
 from tessera.llm.scratch import Scratch
 from tessera.llm.shingles import raw, slices
@@ -55,7 +55,7 @@ def words(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         ends[i] = at
     edge = np.diff(_WORD[data].astype(np.int8), prepend=0)
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return Stretches(_LOWER[data]).ids(start, stop), np.r_[0, np.searchsorted(start, ends)]
+    return hashes(_LOWER[data], start, stop), np.r_[0, np.searchsorted(start, ends)]
 
 
 def pairs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

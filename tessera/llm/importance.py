@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.bytehash import Stretches, mix
+from tessera.llm.bytehash import hashes, mix
 from tessera.llm.ngram_join import keyed
 from tessera.llm.ordering import ranged, with_prefix
 from tessera.llm.rows import unwrapped, wrapped
@@ -64,7 +64,7 @@ def features(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     kind = _KIND[data]
     edge = np.r_[True, kind[1:] != kind[:-1]]
     start, stop = np.flatnonzero(edge & (kind > 0)), np.flatnonzero(np.r_[edge[1:], True] & (kind > 0)) + 1
-    h = Stretches(data).ids(start, stop)
+    h = hashes(data, start, stop)
     owner = np.searchsorted(ends, start, "right")
     near = [owner[by:] == owner[:-by] if len(owner) > by else np.zeros(0, bool) for by in (1, 2)]
     before = [_behind(h, by, near[by - 1], by) for by in (1, 2)]
@@ -74,8 +74,8 @@ def features(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     shapes = shape
     for by in (1, 2):
         shapes = (shapes << np.uint64(10)) | _behind(shape, by, near[by - 1], 1023)
-    hashes = (mix(h + np.uint64(11)), mix(mix(h) + before[0]), mix(shapes + np.uint64(13)))
-    return np.concatenate([(x >> np.uint64(64 - BITS)).astype(np.int64) + (f << BITS) for f, x in enumerate(hashes)]), np.tile(owner, FAMILIES)
+    mixed = (mix(h + np.uint64(11)), mix(mix(h) + before[0]), mix(shapes + np.uint64(13)))
+    return np.concatenate([(x >> np.uint64(64 - BITS)).astype(np.int64) + (f << BITS) for f, x in enumerate(mixed)]), np.tile(owner, FAMILIES)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,15 +11,24 @@ accumulated one column block after the other, and a pair is discarded as soon as
 what is left cannot lift it to its bound.
 
 Row blocks may hold large groups of near copies, so not all pairs of one are
-formed.  First each set is held against the least set of its row block.  When
-the links have been joined to components, the pairs of a row block that lie in
-different components are held against each other, so no link between two
-components is lost.  Sets are nodes: copies of one set never form pairs.
+formed.  What matters are links between different components of a row block.
+Where few of its sets are outside its largest component, those are held against
+all of its sets.  Elsewhere some hubs are held against all sets and leave the
+block, as all their pairs are done; the links found join components, and the rest
+goes into the next round.  If hubs no longer join anything, the sets outside the
+largest component are held against all.  So no link between two components is
+lost, and the pairs of each round are in proportion to the listings.  Pairs must
+pass bounds on sizes and on parities of n-gram counts before they become rows.
+Sets are nodes: copies of one set never form pairs.
 
 Links are counted apart: both ends of a link lie in one component, so the sets of
 each component are dealt into blocks and the product of each pair of blocks is
 computed whole.  Only sums for each set leave a product, never pairs, but the time
 it takes grows with the square of the different sets of a component.
+
+Sets are told apart by 128 bits of hashes of their sorted n-grams, rows by 128 bits
+of id and text.  N-grams are 64-bit hashes, and a pair is decided on all of them, so
+a wrong decision takes two different n-grams of the same two documents with one hash.
 """
 
 from __future__ import annotations
@@ -31,7 +40,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytehash import mix
@@ -42,10 +51,14 @@ from tessera.llm.shingles import raw, sets, slices
 
 CLASS_RATIO = 1.5
 COLUMN_BLOCKS = 8
-WIDE_BITS = 1024  # parities that candidates are held to before their sets are fetched
-PASSES = 4  # parts of the column blocks, and of the pairs, that are taken one after the other, to bound the disk in use
+LISTINGS = 8  # parts of the column blocks that are taken one after the other, to bound the disk in use
+PASSES = 4  # the same for pairs, if there are more than PASS_PAIRS
+PASS_PAIRS = 20_000
 BROADCAST_IDS = 1_000_000
-LOW_BLOCKS = 32  # row blocks of a set that are compared to keep its pairs from coming up again
+OUTSIDE = 8  # sets of a row block outside its largest component that are held against all of its sets at once
+HUBS = 8  # else, hubs of a row block in each round
+ROUNDS = 16  # rounds of hubs, before the sets outside the largest component are held against all
+CELL_SETS = 1024  # hubs of a row block that one task holds against its sets
 BLOCK_SETS = 512  # sets and n-grams, on average, of a block of one component whose links are counted
 BLOCK_GRAMS = 1 << 18
 DENSE = 64  # an n-gram is multiplied as a dense column if this part of the block's pairs, or more, share it
@@ -107,36 +120,51 @@ def signatures(u: np.ndarray, bounds: Bounds) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def sketch(u: np.ndarray, bits: int = 256) -> np.ndarray:
-    """Parities of n-gram counts: two sets differ in at least as many n-grams as parities."""
+def parities(u: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of n-gram counts: two sets differ in at least as many n-grams as parities.  Half as many are the exclusive or of both halves."""
     odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def wide_bits(n: int) -> int:
+    """A power of two that grows with the set, as fewer parities would say nothing of the difference of large sets."""
+    return max(256, 1 << (n - 1).bit_length())
 
 
-ENTRY = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("p3", pa.int64()), ("wide", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
-ENTRY_SQL = "k long, n long, s long, p0 long, p1 long, p2 long, p3 long, wide array<long>, sigs array<long>"
+_KEYS = ("k", "j", "n", "s", "z", "p0", "p1", "p2", "p3")
+_SIGS = tuple(f"sig_{g}" for g in range(LISTINGS))
+ENTRY = pa.schema([*[(c, pa.int64()) for c in _KEYS], *[(c, pa.list_(pa.int64())) for c in ("wide", *_SIGS)]])
+ENTRY_SQL = ", ".join([*[f"{c} long" for c in _KEYS], *[f"{c} array<long>" for c in ("wide", *_SIGS)]])
 
 
-def _lists(arrays: tuple[np.ndarray, ...]) -> pa.ListArray:
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.r_[0, np.cumsum([len(x) for x in arrays])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
 def _listed(width: int, t: Fraction):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = Bounds(t)
+        bounds, none = Bounds(t), np.zeros(0, np.int64)
+        edges = np.array([(g << 64) // LISTINGS for g in range(1, LISTINGS)], np.uint64)
         for batch in batches:
-            keys = iter(batch.column("k").to_pylist())
+            keys = iter(zip(batch.column("k").to_pylist(), batch.column("j").to_pylist(), strict=True))
             for texts in slices(raw(batch.column("text"))):
-                out = []
+                numbers, lists = [], []
                 for u in sets(texts, width):
-                    if len(u):
-                        s = np.uint64(xxhash.xxh3_64_intdigest(u.tobytes())).astype(np.int64)
-                        out.append((next(keys), len(u), int(s), *sketch(u).tolist(), sketch(u, WIDE_BITS), signatures(u, bounds).view(np.int64)))
-                    else:
-                        out.append((next(keys), 0, 0, 0, 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                columns = list(zip(*out, strict=True))
-                yield pa.record_batch([*[pa.array(c, pa.int64()) for c in columns[:-2]], *map(_lists, columns[-2:])], schema=ENTRY)
+                    k, j = next(keys)
+                    if not len(u):
+                        numbers.append((k, j, *[0] * 7))
+                        lists.append([none] * (1 + LISTINGS))
+                        continue
+                    s = int(np.uint64(xxhash.xxh3_64_intdigest(u.tobytes())).astype(np.int64))
+                    z = int(np.uint64(xxhash.xxh3_64_intdigest(u.tobytes(), 1)).astype(np.int64))
+                    wide = parities(u, wide_bits(len(u)))
+                    short = np.bitwise_xor.reduce(wide.reshape(-1, 4), axis=0)
+                    found = signatures(u, bounds)
+                    numbers.append((k, j, len(u), s, z, *short.tolist()))
+                    lists.append([wide, *np.split(found.view(np.int64), np.searchsorted(found, edges))])
+                columns = [pa.array(c, pa.int64()) for c in zip(*numbers, strict=True)] + [_lists(list(c)) for c in zip(*lists, strict=True)]
+                yield pa.record_batch(columns, schema=ENTRY)
 
     return rows
 
@@ -144,11 +172,10 @@ def _listed(width: int, t: Fraction):
 def _rows_of(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = iter(batch.column("s").to_pylist())
+            ids = iter(batch.column("id").to_pylist())
             for texts in slices(raw(batch.column("text"))):
-                found = list(sets(texts, width))
-                offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
-                yield pa.record_batch([pa.array([next(ids) for _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))], names=["s", "grams"])
+                found = [u.view(np.int64) for u in sets(texts, width)]
+                yield pa.record_batch([pa.array([next(ids) for _ in found], pa.int64()), _lists(found)], names=["id", "grams"])
 
     return rows
 
@@ -244,181 +271,219 @@ def _sums(t: Fraction, *sides: str):
                     sums.append(wa @ linked)
                 ids.append(sa)
                 sums.append(linked @ wb)
-            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums))], names=["s", "links"])
+            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums))], names=["id", "links"])
 
     return rows
 
 
 class Join:
-    """One run of the join over ``docs`` (k: a key of the row, text)."""
+    """One run of the join over ``rows`` (k, j: a key of the row, text)."""
 
     def __init__(self, rows: DataFrame, scratch: Scratch, width: int, t: Fraction):
         self.rows, self.scratch, self.width, self.t = rows, scratch, width, t
         self.entries = scratch.table(rows.mapInArrow(_listed(width, t), ENTRY_SQL), "entries")
-        # a row for each set: its least key, its size and its parities
-        some = self.entries.where("n > 0").groupBy("s").agg(F.min("k").alias("k"), F.first("n").alias("n"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(4)], F.first("wide").alias("wide"))
-        self.sets = scratch.table(some, "sets")
+        # a row for each set: an id, the least key, its size and its parities
+        first = [F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "wide")]
+        some = self.entries.where("n > 0").groupBy("s", "z").agg(F.min(F.struct("k", "j")).alias("key"), F.count("*").alias("rows"), *first)
+        self.sets = scratch.table(some.select(F.monotonically_increasing_id().alias("id"), "key.k", "key.j", *[c for c in some.columns if c != "key"]), "sets")
+        self.repeated = not self.entries.groupBy("k", "j").count().where("count > 1").isEmpty()
+        self.grams: DataFrame | None = None  # (id, grams) of the sets that were fetched
+
+    def _members(self) -> DataFrame:
+        """(sig, id, n, p0 ..): the sets of each row block of two or more."""
+        scratch, out = self.scratch, None
+        attributes = self.sets.select("s", "id", "n", "p0", "p1", "p2", "p3")
+        for g in range(LISTINGS):
+            listed = self.entries.where("n > 0").select("s", F.explode(f"sig_{g}").alias("sig"))
+            blocks = listed.groupBy("sig").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x != y").select("sig")
+            blocks = scratch.table(blocks, f"blocks-{g}")
+            scratch.release()
+            some = scratch.table(listed.join(blocks, "sig").distinct().join(attributes, "s").drop("s"), f"members-{g}")
+            out = some if out is None else out.union(some)
+            scratch.drop(f"blocks-{g}")
+            scratch.release()
+        return out
 
-    def _listings(self) -> DataFrame:
-        return self.entries.where("n > 0").select("s", F.explode("sigs").alias("sig"))
+    def _possible(self, na: Column, nb: Column, odd: Column) -> Column:
+        """Whether sizes and a number of n-grams that differ at least leave room for a link."""
+        num, den = self.t.numerator, self.t.denominator
+        # with d n-grams that differ: common = (na + nb - d) / 2
+        return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & ((na + nb - odd) * (num + den) >= (na + nb) * 2 * num)
 
     def _candidates(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sizes and parities do not rule out a link."""
-        num, den = self.t.numerator, self.t.denominator
-        side = lambda c: self.sets.select(F.col("s").alias(c), F.col("k").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"wide{c}"))
+        """Pairs (a, b) with the keys of both sets whose sizes and parities do not rule out a link."""
+        side = lambda c: self.sets.select(F.col("id").alias(c), F.col("k").alias(f"k{c}"), F.col("j").alias(f"j{c}"), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"wide{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        odd = F.aggregate(F.zip_with("widea", "wideb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        small, large = F.least("na", "nb"), F.greatest("na", "nb")
-        # with d n-grams that differ: common = (na + nb - d) / 2
-        possible = (small * den >= large * num) & ((F.col("na") + F.col("nb") - odd) * (num + den) >= (F.col("na") + F.col("nb")) * 2 * num)
-        return both.where(possible).select("a", "b", "ka", "kb")
+        size = F.least(F.size("widea"), F.size("wideb"))
+
+        def folded(x: str) -> Column:  # sizes of linked sets are within a factor of two
+            return F.when(F.size(x) == size, F.col(x)).otherwise(F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q)))
 
-    def _grams(self, wanted: DataFrame, name: str) -> DataFrame:
-        """(s, grams) for each of ``wanted`` (s, k: a key of the set)."""
+        odd = F.aggregate(F.zip_with(folded("widea"), folded("wideb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        return both.where(self._possible(F.col("na"), F.col("nb"), odd)).select("a", "ka", "ja", "b", "kb", "jb")
+
+    def fetch(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(id, grams) for each of ``wanted`` (id, k, j: a key of the set) and those that were fetched before."""
+        if self.grams is not None:
+            wanted = wanted.join(self.grams.select("id"), "id", "left_anti")
         wanted = self.scratch.table(wanted, f"{name}-wanted")
-        few = wanted.count() <= BROADCAST_IDS
-        # rows of one key have one text: any of them stands for the set
-        texts = self.rows.join(F.broadcast(wanted) if few else wanted, "k").select("s", "text")
-        return self.scratch.table(texts.mapInArrow(_rows_of(self.width), "s long, grams array<long>").dropDuplicates(["s"]), f"{name}-grams")
+        n = wanted.count()
+        if n or self.grams is None:
+            # rows of one key have one text: any of them stands for the set
+            texts = self.rows.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, ["k", "j"]).select("id", "text")
+            found = texts.mapInArrow(_rows_of(self.width), "id long, grams array<long>")
+            found = self.scratch.table(found.dropDuplicates(["id"]) if self.repeated else found, f"{name}-grams")
+            self.grams = found if self.grams is None else self.grams.union(found)
+        self.scratch.drop(f"{name}-wanted")
+        return self.grams
 
     def _verify(self, candidates: DataFrame, name: str) -> DataFrame:
-        """The candidates (a, b, ka, kb) that are linked."""
-        candidates = self.scratch.table(candidates, f"{name}-candidates")
-        wanted = candidates.select(F.col("a").alias("s"), F.col("ka").alias("k")).union(candidates.select("b", "kb")).distinct()
-        grams = self._grams(wanted, name)
-        links = None
-        for g in range(PASSES):  # the rows of one pass are on disk at a time
-            pairs = candidates.where(F.pmod("a", F.lit(PASSES)) == g).select("a", "b")
-            left = grams.where(F.pmod("s", F.lit(PASSES)) == g).select(F.col("s").alias("a"), F.col("grams").alias("ga"))
-            pairs = pairs.join(left, "a").join(grams.select(F.col("s").alias("b"), F.col("grams").alias("gb")), "b")
+        """The candidates that are linked, as (a, b)."""
+        wanted = candidates.select(F.col("a").alias("id"), F.col("ka").alias("k"), F.col("ja").alias("j")).union(candidates.select("b", "kb", "jb")).distinct()
+        grams = self.fetch(wanted, name)
+        passes, links = PASSES if candidates.count() > PASS_PAIRS else 1, None
+        for g in range(passes):  # the rows of one pass are on disk at a time
+            deal = F.pmod(F.xxhash64("a"), F.lit(passes)) == g
+            pairs = candidates.select("a", "b").where(deal).join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")).where(deal), "a")
+            pairs = pairs.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
             some = self.scratch.table(pairs.mapInArrow(_product(self.t), "a long, b long"), f"{name}-links-{g}")
             links = some if links is None else links.union(some)
             self.scratch.release()
-        self.scratch.drop(f"{name}-candidates", f"{name}-wanted", f"{name}-grams")
         return links
 
+    def _pairs(self, named: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of a hub and a set of its row block in another component that may be linked."""
+        marks = [F.col(x).alias(f"h{x}") for x in ("id", "c", "n", "p0", "p1", "p2", "p3")]
+        cells = F.ceil(F.col("held") / CELL_SETS).cast("int")
+        left = named.withColumn("cell", F.pmod(F.xxhash64("id"), cells).cast("int"))
+        right = hubs.select("sig", *marks, F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
+        odd = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"hp{i}"))) for i in range(4)), F.lit(0))
+        near = left.join(right, ["sig", "cell"]).where((F.col("c") != F.col("hc")) & self._possible(F.col("n"), F.col("hn"), odd))
+        return near.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
+
     def classes(self) -> DataFrame:
-        """(s, component): the component, named by its least set, of each set that has links."""
+        """(node, component): the component, named by its least set, of each set that has links."""
         scratch = self.scratch
-        members = None
-        for g in range(PASSES):
-            listed = self._listings().where(F.pmod("sig", F.lit(PASSES)) == g)
-            blocks = listed.groupBy("sig").agg(F.min("s").alias("hub"), F.max("s").alias("last")).where("hub != last").select("sig", "hub")
-            blocks = scratch.table(blocks, f"blocks-{g}")
-            scratch.release()
-            some = scratch.table(listed.join(blocks, "sig").select("sig", "s", "hub").distinct(), f"members-{g}")
-            members = some if members is None else members.union(some)
-            scratch.drop(f"blocks-{g}")
+        members, found, tested, last = self._members(), None, None, False
+        for round_ in range(ROUNDS + 1):
+            last = last or round_ == ROUNDS
+            named = members.withColumn("c", F.col("id")) if found is None else members.join(found.withColumnsRenamed({"node": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
+            named = scratch.table(named, f"named-{round_}")
+            in_one = named.groupBy("sig", "c").agg(F.count("*").alias("m"))
+            sizes = in_one.groupBy("sig").agg(F.sum("m").alias("all"), F.max("m").alias("m"), F.max_by("c", "m").alias("big")).withColumn("outside", F.col("all") - F.col("m")).where("outside > 0")
+            blocks = scratch.table(sizes.select("sig", "big", "outside", F.when((F.col("outside") <= OUTSIDE) | F.lit(last), F.col("outside")).otherwise(HUBS).alias("held"), ((F.col("outside") > OUTSIDE) & ~F.lit(last)).alias("large")), f"sizes-{round_}")
+            open_ = scratch.table(named.join(blocks, "sig"), f"open-{round_}")
+            large = open_.where("large")
+            chosen = large.groupBy("sig", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("part")).agg(F.min("id").alias("id")).drop("part")
+            chosen = scratch.table(chosen, f"hubs-{round_}")
+            hubs = open_.where("not large and c != big").unionByName(large.join(chosen, ["sig", "id"]))
+            pairs = scratch.table(self._pairs(open_, hubs), f"pairs-{round_}")
+            candidates = self._candidates(pairs)
+            if tested is not None:
+                candidates = candidates.join(tested, ["a", "b"], "left_anti")
+            candidates = scratch.table(candidates, f"candidates-{round_}")
+            links = self._verify(candidates, f"round-{round_}")
+            tested = candidates.select("a", "b") if tested is None else tested.union(candidates.select("a", "b"))
+            more = not links.isEmpty()
+            if more:
+                found = self._joined(found, links, round_)
+            done = large.isEmpty()
+            if not done:
+                members = scratch.table(large.join(chosen, ["sig", "id"], "left_anti").select("sig", "id", "n", "p0", "p1", "p2", "p3"), f"members-after-{round_}")
+            scratch.drop(*[f"{x}-{round_}" for x in ("named", "sizes", "open", "hubs", "pairs", "round")], *([f"members-after-{round_ - 1}"] if round_ else [f"members-{g}" for g in range(LISTINGS)]))
             scratch.release()
-        stars = members.where("s != hub").select(F.col("s").alias("a"), F.col("hub").alias("b")).distinct()
-        links = self._verify(self._candidates(stars), "star")
-        found = scratch.table(components(links, scratch, "first"), "first-found")
-        # what lies in different components of one row block
-        named = members.select("sig", "s").join(found.select(F.col("node").alias("s"), "component"), "s", "left").select("sig", "s", F.coalesce("component", "s").alias("component"))
-        named = scratch.table(named, "named")
-        open_ = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("sig")
-        open_ = scratch.table(open_, "open")
-        named = scratch.table(named.join(open_, "sig"), "open-named")
-        low = scratch.table(named.groupBy("s").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LOW_BLOCKS).alias("low")), "low")
-        side = scratch.table(named.join(self.sets.drop("k", "wide"), "s").join(low, "s"), "open-members")
-        a = side.select("sig", F.col("s").alias("a"), F.col("low").alias("lowa"), F.col("component").alias("ca"), F.col("n").alias("na"), *[F.col(f"p{i}").alias(f"p{i}a") for i in range(4)])
-        b = side.select("sig", F.col("s").alias("b"), F.col("low").alias("lowb"), F.col("component").alias("cb"), F.col("n").alias("nb"), *[F.col(f"p{i}").alias(f"p{i}b") for i in range(4)])
-        num, den = self.t.numerator, self.t.denominator
-        odd = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(4)), F.lit(0))
-        near = (F.col("na") <= F.col("nb")) & ((F.col("na") != F.col("nb")) | (F.col("a") < F.col("b"))) & (F.col("na") * den >= F.col("nb") * num) & (F.col("ca") != F.col("cb"))
-        near = near & ((F.col("na") + F.col("nb") - odd) * (num + den) >= (F.col("na") + F.col("nb")) * 2 * num)
-        # a pair comes up in the least row block that both lists name, not in each that the two share
-        least = F.array_min(F.array_intersect("lowa", "lowb"))
-        near = near & (least.isNull() | (a["sig"] <= least))
-        cross = scratch.table(a.join(b, (a["sig"] == b["sig"]) & near).select("a", "b").distinct(), "cross")
-        more = self._verify(self._candidates(cross), "cross")
-        if more.isEmpty():
-            return found
-        return scratch.table(components(links.union(more), scratch, "second"), "second-found")
+            if done:
+                break
+            last = not more  # hubs do not help any more
+        return found if found is not None else scratch.spark.createDataFrame([], "node long, component long")
+
+    def _joined(self, found: DataFrame | None, links: DataFrame, round_: int) -> DataFrame:
+        """``found`` after ``links`` have joined components."""
+        scratch = self.scratch
+        if found is not None:
+            name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+            links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = scratch.table(components(links, scratch, f"merge-{round_}"), f"merged-{round_}")
+        if found is None:
+            return merged
+        named = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        return scratch.table(named.union(merged.join(found, "node", "left_anti").select("node", "component")), f"found-{round_}")
 
     def links(self, found: DataFrame) -> DataFrame:
-        """(s, rows, links): for each set, its rows and the rows of the other sets that it is linked with; ``found`` is what classes() gave."""
+        """(id, links): for each set with links, the rows of the other sets that it is linked with; ``found`` is what classes() gave."""
         scratch = self.scratch
-        rows = scratch.table(self.entries.where("n > 0").groupBy("s").agg(F.count("*").alias("rows")), "rows")
-        sized = found.withColumnRenamed("node", "s").join(self.sets.select("s", "k", "n"), "s").join(rows, "s")
-        sized = scratch.table(sized, "sized")
+        sized = scratch.table(found.withColumnRenamed("node", "id").join(self.sets.select("id", "k", "j", "n", "rows"), "id"), "sized")
         blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS))
         blocks = scratch.table(sized.groupBy("component").agg(blocks.alias("blocks")), "counted")
-        dealt = sized.join(blocks, "component").select("s", "rows", "component", "blocks", F.pmod(F.xxhash64("s"), F.col("blocks")).alias("i"))
-        grams = self._grams(sized.select("s", "k"), "links")
-        packed = grams.join(dealt, "s").groupBy("component", "blocks", "i").agg(F.collect_list(F.struct("s", "rows", "grams")).alias("a"))
+        dealt = sized.join(blocks, "component").select("id", "rows", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("i"))
+        grams = self.fetch(sized.select("id", "k", "j"), "links")
+        packed = grams.join(dealt, "id").groupBy("component", "blocks", "i").agg(F.collect_list(F.struct("id", "rows", "grams")).alias("a"))
         packed = scratch.table(packed, "packed")
-        scratch.drop("links-grams", "links-wanted")
         scratch.release()
-        sums = scratch.table(packed.select("a").mapInArrow(_sums(self.t, "a"), "s long, links long"), "sums")
+        sums = scratch.table(packed.select("a").mapInArrow(_sums(self.t, "a"), "id long, links long"), "sums")
         left = packed.where("i + 1 < blocks").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)))
         right = packed.where("blocks > 1").select("component", F.col("i").alias("j"), F.col("a").alias("b"))
         for g in range(PASSES):  # the pairs of blocks of one pass are on disk at a time
             cells = left.where(F.pmod(F.xxhash64("component", "i", "j"), F.lit(PASSES)) == g).select("component", "j", "a")
-            some = cells.join(right, ["component", "j"]).select("a", "b").mapInArrow(_sums(self.t, "a", "b"), "s long, links long")
-            sums = sums.union(scratch.table(some.groupBy("s").agg(F.sum("links").alias("links")), f"sums-{g}"))
+            some = cells.join(right, ["component", "j"]).select("a", "b").mapInArrow(_sums(self.t, "a", "b"), "id long, links long")
+            sums = sums.union(scratch.table(some.groupBy("id").agg(F.sum("links").alias("links")), f"sums-{g}"))
             scratch.release()
-        scratch.drop("packed", "sized", "counted")
-        return rows.join(sums.groupBy("s").agg(F.sum("links").alias("links")), "s", "left").select("s", "rows", F.coalesce("links", F.lit(0)).alias("links"))
+        sums = scratch.table(sums.groupBy("id").agg(F.sum("links").alias("links")), "all-sums")
+        scratch.drop("packed", "sized", "counted", "sums", *[f"sums-{g}" for g in range(PASSES)])
+        return sums
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """A key of id and text, and the text, for each row."""
+    """_k and _j, together a 128-bit key of id and text, for each row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("_k", F.xxhash64("doc_id", text, F.octet_length(text)))
+    return docs.withColumns({"_k": F.xxhash64("doc_id", text, F.octet_length(text)), "_j": F.xxhash64(F.lit(1), text, "doc_id")})
 
 
 def classify_keys(rows: DataFrame, scratch: Scratch, width: int, t: Fraction, counted: bool = False) -> DataFrame:
-    """(k, id, copies, _n, _class) for each distinct key of ``rows`` (k, text, id), and _links if ``counted``.
+    """(k, j, id, copies, _n, _class) for each distinct key of ``rows`` (k, j, text, id), and _links if ``counted``.
 
     _n is the size of the set.  Keys of one class reach each other by links or have
     one set; sets without n-grams have the null class and are linked with nothing.
     ``copies`` is the number of rows of the key, which are equal in id and text.
     _links is the number of other rows that a row of the key is linked with.
     """
-    join = Join(rows.select("k", "text"), scratch, width, t)
+    join = Join(rows.select("k", "j", "text"), scratch, width, t)
     found = join.classes()
-    ids = rows.groupBy("k").agg(F.first("id").alias("id"), F.count("*").alias("copies"))
-    entries = join.entries.select("k", "n", "s").dropDuplicates(["k"]).join(ids, "k")
-    named = entries.join(found.select(F.col("node").alias("s"), "component"), "s", "left")
-    columns = ["k", "id", "copies", F.col("n").alias("_n"), F.when(F.col("n") > 0, F.coalesce("component", "s")).alias("_class")]
+    classes = join.sets.select("id", "s", "z", "rows").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("_class", F.coalesce("component", "id"))
+    if counted:
+        classes = classes.join(join.links(found), "id", "left")
+    ids = rows.groupBy("k", "j").agg(F.first("id").alias("id"), F.count("*").alias("copies"))
+    entries = join.entries.select("k", "j", F.col("n").alias("_n"), "s", "z").dropDuplicates(["k", "j"]).join(ids, ["k", "j"])
+    # sets without n-grams have s = z = 0 and no row in ``sets``
+    named = entries.join(classes.drop("id"), [entries["s"] == classes["s"], entries["z"] == classes["z"], entries["_n"] > 0], "left")
+    columns = ["k", "j", "id", "copies", "_n", "_class"]
     if counted:
-        links = scratch.table(join.links(found), "links")
-        named = named.join(links, "s", "left")
-        columns.append(F.coalesce(F.col("rows") - 1 + F.col("links"), F.lit(0)).alias("_links"))
-    return scratch.table(named.select(*columns), "named-keys")
+        named = named.withColumn("_links", F.coalesce(F.col("rows") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)))
+        columns.append("_links")
+    out = scratch.table(named.select(*columns), "named-keys")
+    scratch.drop("entries", "sets")
+    return out
 
 
-def _linked(docs: DataFrame, width: int, t: Fraction, counted: bool) -> DataFrame:
+def link_documents(docs: DataFrame, width: int = 3, t: Fraction = Fraction(9, 10)) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, n_links.
+
+    The component is the smallest doc_id that links reach, the document's own
+    included; documents with equal sets are linked.  n_links is the number of other
+    rows that the document is linked with: every link counts, those between members
+    of one component too, and rows that are equal in id and text count each.  A null
+    text, an empty one and one of white space have no shingles and are linked with
+    nothing.  Repeated rows give repeated results; rows without an id can be in a
+    component and have none of their own if alone.  An empty table gives an empty
+    result; other columns are ignored.
+    """
     scratch = Scratch(docs.sparkSession, "linked")
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    classed = classify_keys(rows.select(F.col("_k").alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id")), scratch, width, t, counted)
+    classed = classify_keys(rows.select(F.col("_k").alias("k"), F.col("_j").alias("j"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id")), scratch, width, t, True)
     least = classed.where("_class is not null").groupBy("_class").agg(F.min("id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     least = scratch.table(least, "classes")
     out = classed.join(least, "_class", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    found = [F.col("id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
-    return out.select(*found, *[F.col("_links").alias("n_links")] * counted)
-
-
-def link_documents(docs: DataFrame, width: int = 3, t: Fraction = Fraction(9, 10)) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id.
-
-    The component is the smallest doc_id that links reach, the document's own
-    included; documents with equal sets are linked.  A null text, an empty one and
-    one of white space have no shingles and are linked with nothing.  Repeated rows
-    give repeated results; rows without an id can be in a component and have none of
-    their own if alone.  An empty table gives an empty result; other columns are ignored.
-    """
-    return _linked(docs, width, t, False)
-
-
-def count_links(docs: DataFrame, width: int = 3, t: Fraction = Fraction(9, 10)) -> DataFrame:
-    """The rows of ``link_documents`` with n_links: how many other rows the document is linked with.
-
-    Every link counts, those between members of one component too; rows that are
-    equal in id and text count each.
-    """
-    return _linked(docs, width, t, True)
+    return out.select(F.col("id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("_links").alias("n_links"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -427,16 +492,17 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4,
     Documents without words are no copies of anything and stay.  Of rows that repeat
     in id and text one stays.
     """
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch, key = Scratch(docs.sparkSession, "near"), ["_k", "_j"]
     rows = keyed(wrapped(docs, "doc_id", "text"))
-    classed = classify_keys(rows.select(F.col("_k").alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id")), scratch, width, t)
-    rows = rows.select("row", "_k")
-    rank = F.struct(F.col("id").isNull(), "id", "k")
-    first = scratch.table(classed.where("_class is not null").groupBy("_class").agg(F.min(rank)["k"].alias("first")), "first")
-    lost = classed.where("_class is not null").join(first, "_class").where("k != first").select(F.col("k").alias("_k"))
-    again = scratch.table(classed.groupBy("k").agg(F.max("copies").alias("n")).where("n > 1").select(F.col("k").alias("_k")), "again")
-    lost = scratch.table(lost.distinct(), "lost")
-    once = rows.join(lost.union(again).distinct(), "_k", "left_anti")
+    classed = classify_keys(rows.select(F.col("_k").alias("k"), F.col("_j").alias("j"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("id")), scratch, width, t)
+    rows = rows.select("row", *key)
+    rank = F.struct(F.col("id").isNull(), "id", "k", "j")
+    first = scratch.table(classed.where("_class is not null").groupBy("_class").agg(F.min(rank).alias("first")), "first")
+    named = lambda d: d.select(F.col("k").alias("_k"), F.col("j").alias("_j"))
+    lost = named(classed.where("_class is not null").join(first, "_class").where((F.col("k") != F.col("first.k")) | (F.col("j") != F.col("first.j"))))
+    again = scratch.table(named(classed.where("copies > 1")), "again")
+    lost = scratch.table(lost, "lost")
+    once = rows.join(lost.union(again).distinct(), key, "left_anti")
     if not again.isEmpty():
-        once = once.union(rows.join(again.join(lost, "_k", "left_anti"), "_k", "left_semi").dropDuplicates(["_k"]).select(*once.columns))
+        once = once.union(rows.join(again.join(lost, key, "left_anti"), key, "left_semi").dropDuplicates(key).select(*once.columns))
     return unwrapped(once)

@@ -29,13 +29,6 @@ e AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS g FROM g),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM c WHERE 100 * shared >= 90 * (na + nb - shared)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT g.doc_id, CAST(len(g.gs) AS BIGINT) AS n_shingles, m.component_id FROM g JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = g.doc_id
+SELECT g.doc_id, CAST(len(g.gs) AS BIGINT) AS n_shingles, m.component_id, coalesce(k.n, 0) AS n_links FROM g JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = g.doc_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = g.doc_id
 """
-
-#: the same, and the links of each document
-LINKS = (
-    JOIN.rpartition("SELECT g.doc_id")[0]
-    + """SELECT g.doc_id, CAST(len(g.gs) AS BIGINT) AS n_shingles, m.component_id, coalesce(k.n, 0) AS n_links FROM g JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = g.doc_id
- LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = g.doc_id
-"""
-)

@@ -49,12 +49,6 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"))
 
 
-def op6_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.ngram_join import count_links
-
-    return count_links(_table(spark, sf_dir, "documents"))
-
-
 def op7_seeded_alignment_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import find_leaks
 
@@ -86,7 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_prefix_sharding": op4_byte_prefix_sharding,
     "op5_weighted_mixing": op5_weighted_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
-    "op6_ngram_jaccard_links": op6_ngram_jaccard_links,
     "op7_seeded_alignment_decontamination": op7_seeded_alignment_decontamination,
     "op8_importance_resampling": op8_importance_resampling,
     "op9_bottom_k_fingerprints": op9_bottom_k_fingerprints,
@@ -97,5 +90,4 @@ ORACLES: dict[str, str] = {
     "op3_sharded_warc": oracles.WARC,
     "op5_weighted_mixing": oracles.MIX,
     "op6_ngram_jaccard_join": oracles.JOIN,
-    "op6_ngram_jaccard_links": oracles.LINKS,
 }

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.bytehash import Stretches, mix
+from tessera.llm.bytehash import hashes, mix
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -21,8 +21,6 @@ def _turn(j: int) -> np.uint64:
     return np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
-
-
 def raw(column: pa.Array) -> Iterator[np.ndarray]:
     """The UTF-8 bytes of each text; null is empty."""
     for x in column:
@@ -56,7 +54,7 @@ def words(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_SPACE[data]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    h = Stretches(_LOWER[data]).ids(start, stop)
+    h = hashes(_LOWER[data], start, stop)
     return h, np.r_[0, np.searchsorted(start, ends)]
 
 
