@@ -30,6 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
 
 
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session does: 10,000 long texts in one would fill a worker's memory."""
+    if spark.conf.get(_BATCHES, None) is None:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -41,6 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 

@@ -12,7 +12,7 @@ from tessera.llm.bytehash import hashes, mix
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
