@@ -1,6 +1,7 @@
 """Plain versions of the operators over lists of (doc_id, text)."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -83,3 +84,28 @@ def align(item, text):
             rows[i][j] = max(0, rows[i - 1][j - 1] + (2 if a == b else -1), rows[i - 1][j] - 1, rows[i][j - 1] - 1)
             best = max(best, rows[i][j])
     return best / (2 * len(item))
+
+
+def importance(rows, target, smoothing, stretch):
+    """Log weights by exact n-grams: tokens, pairs and triples of token shapes, no hashing."""
+    found = []
+    for _, text in rows:
+        kind = lambda c: 1 if c.isalpha() or ord(c) > 127 else 2 if c.isdigit() else 0 if c in " \t\n\r\x0b\x0c" else 3
+        tokens, last = [], 0
+        for c in text or "":
+            k = kind(c)
+            if k and k == last:
+                tokens[-1] += c
+            elif k:
+                tokens.append(c)
+            last = k
+        upper = lambda t, j: len(t) > j and "A" <= t[j] <= "Z"
+        back = lambda i, by: tokens[i - by] if i >= by else None
+        shapes = [(kind(t[0]), t == back(i, 1), t == back(i, 2), upper(t, 0), upper(t, 1)) for i, t in enumerate(tokens)]
+        shape = lambda i: shapes[i] if i >= 0 else None
+        found.append([[("t", t), ("p", t, back(i, 1)), ("s", shape(i), shape(i - 1), shape(i - 2))] for i, t in enumerate(tokens)])
+    every, aim = Counter(f for d in found for t in d for f in t), Counter(f for (i, _), d in zip(rows, found, strict=True) if i in target for t in d for f in t)
+    size, wanted = ({k: sum(n for f, n in c.items() if f[0] == k) for k in "tps"} for c in (every, aim))
+    ratio = {f: math.log((aim[f] + smoothing) / (n * wanted[f[0]] / max(1, size[f[0]]) + smoothing)) for f, n in every.items()}
+    sums = [sum(ratio[f] for t in d for f in t) for d in found]
+    return [x * stretch / max(3 * len(d), stretch) for x, d in zip(sums, found, strict=True)]

@@ -367,6 +367,58 @@ def test_op8(spark, none):
     assert sample_documents(none, labels).count() == 0 and keep_selected(none, labels).count() == 0
 
 
+def mixed_quality(r):
+    """Documents of good, poor and every middling kind."""
+    rows = []
+    for i in range(240):
+        share = 0.0 if i < 100 else 1.0 if i < 140 else r.random()
+        rows.append((i, " ".join(f"{w}%%%" if r.random() < share else w for w in words(r, r.randrange(20, 60), 25))))
+    return rows, [(i, 1, 0) for i in range(100)] + [(i, 0, 0) for i in range(100, 140)] + [(i, int(i < 190), 0) for i in range(140, 240)]
+
+
+def test_op8_model(spark):
+    """Weights, keys, k and the cut-off against a plain model."""
+    from tessera.llm.importance import SMOOTHING, logistic, sample_documents
+
+    rows, marks = mixed_quality(random.Random(12))
+    rows += [(900, None), (901, ""), (902, "x")]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in sample_documents(frame(spark, rows), labels, bits=20).collect()}
+    want = plain.importance(rows, {i for i, q, _ in marks if q}, SMOOTHING, 16)
+    for (i, _), w in zip(rows, want, strict=True):
+        assert got[i].log_weight == pytest.approx(w, abs=1e-9)
+    w, y = np.array([got[i].log_weight for i, *_ in marks]), np.array([q for _, q, _ in marks], float)
+    a, b = logistic(w, y, np.ones(len(w)))
+    p = lambda x: 1 / (1 + np.exp(-(a + b * x)))
+    assert b > 0 and p(w).sum() == pytest.approx(y.sum(), abs=0.01)  # as many good ones as there are
+    assert abs((p(w) - y) @ w) < 0.05  # a stationary point
+    k = round(sum(p(x.log_weight) for x in got.values()))
+    assert {i for i, x in got.items() if x.selected} == set(sorted(got, key=lambda i: -got[i].sample_key)[:k])
+
+
+def test_op8_noise(spark):
+    """The noise decides: over seeds a document is selected as often as Gumbel top-k selects it, and by a stretch of no length at random."""
+    from tessera.llm.importance import Classifier
+
+    rows, marks = mixed_quality(random.Random(13))
+    fitted = Classifier(frame(spark, rows).select("doc_id", "text"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    from tessera.llm.importance import gumbel
+
+    seeds = range(300)
+    got = fitted.scores.select("doc_id", "_weight", *[gumbel(s).alias(f"g{s}") for s in seeds]).toPandas()
+    noise, w = got[[f"g{s}" for s in seeds]].to_numpy(), got["_weight"].to_numpy()
+    assert abs(noise.mean() - 0.5772) < 0.02 and abs(noise.var() - np.pi**2 / 6) < 0.06
+    chosen = np.zeros(len(w))
+    for j in range(noise.shape[1]):
+        chosen[np.argsort(-(w + noise[:, j]))[: fitted.k]] += 1
+    often, rng = chosen / noise.shape[1], np.random.default_rng(1)
+    draws = np.zeros(len(w))
+    for _ in range(300):  # one after the other, each with a probability in proportion to its weight
+        draws[rng.choice(len(w), fitted.k, replace=False, p=np.exp(w) / np.exp(w).sum())] += 1
+    assert np.abs(often - draws / 300).mean() < 0.04 and np.corrcoef(often, draws)[0, 1] > 0.9
+    assert ((often > 0.1) & (often < 0.9)).sum() > 25 and often[w > np.quantile(w, 0.9)].min() > 0.5 > often[w < np.quantile(w, 0.1)].max()
+
+
 def test_op8_toxic(spark):
     """Toxic documents of good quality are neither target nor poor, as the docstring says."""
     from tessera.llm import importance
