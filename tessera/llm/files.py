@@ -9,7 +9,11 @@ from pyarrow import fs
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    """The file system of a URI as Hadoop writes it, and the path in it."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = uri.replace("file:/", "file:///", 1)
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfs": "abfss"}.get(scheme, scheme) + mark + rest)
 
 
 class Committed:
@@ -24,6 +28,16 @@ class Committed:
         self.temporary = f"{os.path.dirname(path)}/_temporary-{uuid.uuid4().hex}"
         self.sink = store.open_output_stream(self.temporary)
 
+    def __enter__(self) -> Committed:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        """Commit, or leave nothing behind if the task failed."""
+        if kind is None:
+            self.commit()
+        else:
+            self.abort()
+
     def commit(self) -> None:
         self.sink.close()
         self.store.move(self.temporary, self.path)

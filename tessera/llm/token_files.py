@@ -11,6 +11,7 @@ document, and a manifest gives the ids before each file.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -25,10 +26,11 @@ from tessera.llm.files import Committed, open_fs
 from tessera.llm.scratch import Scratch, partitions
 
 #: fixed values: the format of the tokenizer's vocabulary file
-SPECIAL = "<|endoftext|>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN_END = "\u0250"
-CACHE_WORDS = 2_500_000
+CACHE_BYTES = 256 << 20
+_ENTRY_BYTES = 240  # what an entry of a table takes beside the bytes of its word and ids
+DEFAULT = "byte_bpe_50k.json"
 TARGET_BYTES = 64 << 20
 
 
@@ -57,89 +59,99 @@ class Encoder:
         from tokenizers.models import BPE
 
         with open(path) as f:
-            model = json.load(f)["model"]
+            settings = json.load(f)
+        model, before = settings["model"], settings.get("pre_tokenizer") or {}
+        # the rules below are those of byte-level pieces; other files go through the library whole
+        self.plain = model.get("type", "BPE") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not settings.get("normalizer") and not any(model.get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "dropout"))
+        self.special = [t["content"] for t in settings.get("added_tokens") or []]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         # the narrowest type that holds all ids
-        self.type = np.dtype("<u2") if max(model["vocab"].values()) < 1 << 16 and self.ids_fit(path) else np.dtype("<u4")
+        self.type = np.dtype("<u2") if max([*model["vocab"].values(), *[t["id"] for t in settings.get("added_tokens") or []]]) < 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
-        self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)  # the pieces have a table of their own
+        self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0) if self.plain else None  # the pieces have a table of their own
         self.whole = Tokenizer.from_file(path)
         self.letters = _byte_letters()
         self.odd = re.compile(r" (?:\s|$)")
         self.control = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+        self.lines = re.compile(r"(?<=\S)\n(?=\S)")
         self.pattern = regex.compile(PATTERN)
-        self.split = self.whole.pre_tokenizer.pre_tokenize_str
+        self.split = self.whole.pre_tokenizer.pre_tokenize_str if self.plain else None
+        self.bytes = 0
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    @staticmethod
-    def ids_fit(path: str) -> bool:
-        import json
-
-        with open(path) as f:
-            return all(t["id"] < 1 << 16 for t in json.load(f).get("added_tokens") or [])
-
     def _part(self, letters: str) -> bytes:
         got = self.parts.get(letters)
         if got is None:
             got = self.parts[letters] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+            self.bytes += len(letters) + len(got) + _ENTRY_BYTES
         return got
 
     def _letters(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() and " " not in word else word.encode().decode("latin-1").translate(self.letters)
 
     def _piece(self, word: str, blank: str) -> bytes:
-        """Ids of ``blank + word``; ``blank`` is a blank or nothing.
-
-        Words of Latin letters, also with a full stop or comma after them or a line
-        break between them, are cut at once, other ASCII by the pre-tokenizer's
-        pattern, and what is left by the pre-tokenizer itself.
-        """
+        """Ids of ``blank + word``; ``blank`` is a blank or nothing.  A line break between two other signs is a part of its own."""
+        if "\n" not in word:
+            return self._line(word, blank)
+        first, *rest = self.lines.split(word)
+        return b"".join([self._line(first, blank), *[x for line in rest for x in (self._part(self.letters[10]), self._line(line, ""))]])
+
+    def _line(self, word: str, blank: str) -> bytes:
+        """Words of Latin letters, also with a full stop or comma after them, are cut at once, other ASCII by
+        the pre-tokenizer's pattern, and what is left by the pre-tokenizer itself."""
         lead = self.letters[32] if blank else ""
         if word.isalpha() and max(word) < LATIN_END:
             return self._part(lead + self._letters(word))
         if word[-1:] in (".", ",") and word[:-1].isalpha() and max(word) < LATIN_END:
             return self._part(lead + self._letters(word[:-1])) + self._part(word[-1])
-        left, line, right = word.partition("\n")
-        if line and left and right and not left[-1].isspace() and not right[0].isspace():
-            return self._piece(left, blank) + self._part(self.letters[10]) + self._piece(right, "")
         text = blank + word
         if text.isascii() and not self.control.search(text):
             return b"".join([self._part(self._letters(x)) for x in self.pattern.findall(text)])
         return b"".join([self._part(letters) for letters, _ in self.split(text)])
 
+    def _new(self, table: dict[str, bytes], word: str, blank: str) -> bytes:
+        got = table[word] = self._piece(word, blank)
+        self.bytes += len(word) + len(got) + _ENTRY_BYTES
+        return got
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned ids of ``type``."""
         if not text:
             return b""
-        if SPECIAL in text or self.odd.search(text):
+        if not self.plain or self.odd.search(text) or any(x in text for x in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-        if len(self.after) + len(self.parts) > CACHE_WORDS:
+        if self.bytes > CACHE_BYTES:
             self.first.clear()
             self.after.clear()
             self.parts.clear()
+            self.bytes = 0
         head, *rest = text.split(" ")
         after, out = self.after, []
         if head:
-            got = self.first.get(head)
-            if got is None:
-                got = self.first[head] = self._piece(head, "")
-            out.append(got)
+            out.append(self.first.get(head) or self._new(self.first, head, ""))
         try:
             out.extend([after[w] for w in rest])
         except KeyError:
-            for w in rest:
-                if w not in after:
-                    after[w] = self._piece(w, " ")
-            out.extend([after[w] for w in rest])
+            out.extend([after.get(w) or self._new(after, w, " ") for w in rest])
         return b"".join(out)
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def located(tokenizer: str) -> str:
+    """The place of a vocabulary file on this machine: a path, or the name of one of the public files."""
+    if os.path.exists(tokenizer):
+        return tokenizer
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(tokenizer))
+
+
+def encoder(tokenizer: str) -> Encoder:
+    path = located(tokenizer)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -164,13 +176,12 @@ def _writer(root: str, tokenizer: str, end_id: int, length: int, rows_a_batch: i
         store, base = open_fs(root)
         shard = TaskContext.get().partitionId()
         path = f"{base}/part-{shard:06d}"
-        ids_file, index_file = Committed(store, f"{path}.arrow"), Committed(store, f"{path}.index.arrow")
         width = enc.type.itemsize
         schema, block = _schema(length, enc.type), rows_a_batch * length * width
         docs = tokens = sequences = 0
         held: list[bytes] = []
         size = 0
-        with pa.ipc.new_file(ids_file.sink, schema) as ids_out, pa.ipc.new_file(index_file.sink, INDEX) as index_out:
+        with Committed(store, f"{path}.arrow") as ids_file, Committed(store, f"{path}.index.arrow") as index_file, pa.ipc.new_file(ids_file.sink, schema) as ids_out, pa.ipc.new_file(index_file.sink, INDEX) as index_out:
 
             def flush(data: bytes, last: bool) -> bytes:
                 nonlocal sequences
@@ -198,8 +209,6 @@ def _writer(root: str, tokenizer: str, end_id: int, length: int, rows_a_batch: i
                 if found:
                     index_out.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=INDEX))
             flush(b"".join(held), True)
-        ids_file.commit()
-        index_file.commit()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "docs": docs, "tokens": tokens, "sequences": sequences}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("sequences", pa.int64())]))
 
     return write
@@ -214,7 +223,7 @@ def write_tokens(docs: DataFrame, root: str, scratch: Scratch, tokenizer: str, e
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     n = max(partitions(spark), -(-total // TARGET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     manifest = scratch.table(rows.mapInArrow(_writer(root, tokenizer, end_id, length, rows_a_batch), MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return scratch.table(manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "based")
@@ -304,17 +313,14 @@ def read_documents(manifest: DataFrame, root: str) -> DataFrame:
     return manifest.select("shard", "path", "base").repartitionByRange(n, "shard").mapInArrow(_read(root), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize_documents(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def tokenize_documents(spark: SparkSession, docs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
     """Write all of ``docs`` and read them back.
 
-    A null text is empty and has the end id alone.  Rows of one doc_id follow each
-    other by a hash of their texts; rows without an id come first.  An empty table
+    ``tokenizer`` is a path or the name of a public vocabulary file, looked up on each
+    worker.  A null text is empty and has the end id alone.  Rows of one doc_id follow
+    each other by a hash of their texts; rows without an id come first.  An empty table
     gives files without sequences and an empty result.  Other columns are ignored.
     """
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     scratch = Scratch(spark, "tokens")
     root = scratch.path("files")
     return read_documents(write_tokens(docs, root, scratch, tokenizer), root)

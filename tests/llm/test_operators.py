@@ -69,7 +69,7 @@ def test_op1(docs, rows, none):
     assert remove_repeats(none).count() == 0
 
 
-def test_op2(spark, docs, rows, none, tmp_path):
+def test_op2(spark, docs, rows, none, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -81,6 +81,21 @@ def test_op2(spark, docs, rows, none, tmp_path):
     ids = lambda t: whole.encode(t or "", add_special_tokens=False).ids
     for t in ("a  b", " a", "a ", "a\n b", "a \n b", "it's he'll  x", "<|endoftext|> y", "12 34abc,, !!  ", "x' 's", "\x1c \x0b", "A\r\n B", "É. é, ", "ª º, ²", "日本 語。"):
         assert np.frombuffer(own.encode(t), own.type).tolist() == ids(t), t
+    r = random.Random(3)
+    for _ in range(400):  # long pieces without blanks
+        t = "".join(r.choice(["a", "B", "é", "7", ".", ",", "\n", "\n", "\t", "'s", "日", "\r\n", "\x1c", "{", " "]) for _ in range(r.randrange(200)))
+        assert np.frombuffer(own.encode(t), own.type).tolist() == ids(t), t
+    for t in ("x\n" * 100_000 + "y", "word,1\n" * 50_000, "A" * 100_000):
+        assert np.frombuffer(own.encode(t), own.type).tolist() == ids(t)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # a file of other rules goes through the library
+        other, library = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        for t in ("It's a Test of  words, 12!\nnew", "a b"):
+            assert np.frombuffer(other.encode(t), other.type).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert other.plain == (name == "byte_bpe_50k.json")
+    monkeypatch.setattr("tessera.llm.token_files.CACHE_BYTES", 1000)  # tables that are emptied over and over
+    for _, t in rows:
+        assert np.frombuffer(own.encode(t or ""), own.type).tolist() == ids(t)
+    monkeypatch.undo()
     got = tokenize_documents(spark, docs).collect()
     at, starts = 0, sorted(got, key=lambda r: r.start)
     assert [r.doc_id for r in starts][:2] == [None, 1]
