@@ -1,9 +1,12 @@
 """Deterministic sharded WARC archives (operator 3).
 
-Records are range-sorted by page_id, each range writes gzip members (one a
-record) into files that roll at a compressed size, headers and digests are
-computed anew from the payload, and files get their names only when they are
-whole.  The manifest, one row a file, is what makes a set of files an archive.
+Records are range-sorted, and the ranges are cut where the sizes of the payloads
+before a record pass equal steps, so shards follow from the pages alone and not
+from how they lie in files or partitions.  Each shard writes gzip members (one a
+record) into files that roll at a compressed size; headers and digests are computed
+anew from the payload.  Files are written under temporary names and get their own
+when they are whole; the manifest, one row a file, is written last and is what makes
+a set of files an archive.
 """
 
 from __future__ import annotations
@@ -14,10 +17,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.files import Committed, open_fs
+from tessera.llm.ordering import ranged, with_prefix
 from tessera.llm.scratch import Scratch, partitions
 
 #: fixed values: the format
@@ -25,7 +29,8 @@ VERSION = b"WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
-MANIFEST = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
+MOST_SHARDS = 1 << 16
+MANIFEST = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
 
 
@@ -54,8 +59,9 @@ def member(data: bytes) -> bytes:
 
 
 class _Roll:
-    def __init__(self, store, path: str):
-        self.file, self.path = Committed(store, path), path
+    def __init__(self, store, base: str, shard: int, seq: int):
+        self.shard, self.seq, self.name = shard, seq, f"shard-{shard:06d}-{seq:05d}.warc.gz"
+        self.file = Committed(store, f"{base}/{self.name}")
         self.records = self.bytes = 0
         self.sum = hashlib.sha256()
 
@@ -64,59 +70,89 @@ class _Roll:
         self.sum.update(data)
         self.records, self.bytes = self.records + 1, self.bytes + len(data)
 
+    def close(self) -> pa.RecordBatch:
+        self.file.commit()
+        return pa.RecordBatch.from_pylist([{"shard": self.shard, "seq": self.seq, "name": self.name, "records": self.records, "bytes": self.bytes, "sha256": self.sum.hexdigest()}], schema=MANIFEST)
+
 
 def _writer(root: str, roll_bytes: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         store, base = open_fs(root)
-        shard, seq = TaskContext.get().partitionId(), 0
         current: _Roll | None = None
+        try:
+            for batch in batches:
+                for shard, *row in zip(*[batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "first")], strict=True):
+                    data, seq = member(record(*row, date)), 0
+                    if current and (current.shard != shard or current.bytes + len(data) > roll_bytes):
+                        seq = current.seq + 1 if current.shard == shard else 0
+                        yield current.close()
+                        current = None
+                    if current is None:
+                        current = _Roll(store, base, shard, seq)
+                    current.write(data)
+            if current:
+                yield current.close()
+                current = None
+        finally:
+            if current:
+                current.file.abort()
 
-        def close() -> pa.RecordBatch:
-            current.file.commit()
-            return pa.RecordBatch.from_pylist([{"shard": shard, "seq": seq, "path": current.path, "records": current.records, "bytes": current.bytes, "sha256": current.sum.hexdigest()}], schema=MANIFEST)
+    return write
 
-        for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first")], strict=True):
-                data = member(record(*row, date))
-                if current and current.bytes + len(data) > roll_bytes:
-                    yield close()
-                    current, seq = None, seq + 1
-                if current is None:
-                    current = _Roll(store, f"{base}/shard-{shard:06d}-{seq:05d}.warc.gz")
-                current.write(data)
-        if current:
-            yield close()
 
-    return write
+def _cuts(rows: DataFrame, order: list[Column], scratch: Scratch, shard_bytes: int) -> list:
+    """The first row (page_id, tie) of each shard but the first; at most ``MOST_SHARDS``, which follow from the sizes alone."""
+    light = rows.select("page_id", "_tie", F.octet_length("html").cast("long").alias("size"))
+    total = light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    step, n = max(shard_bytes, -(-total // MOST_SHARDS)), partitions(scratch.spark)
+    at = with_prefix(ranged(light, order, scratch, "sizes", n), order, {"before": "size"}, n)
+    firsts = at.groupBy(F.floor(F.col("before") / step).alias("shard")).agg(F.min(F.struct("page_id", "_tie")).alias("first")).where("shard > 0")
+    return sorted((r.first for r in firsts.select("first").collect()), key=lambda x: (x.page_id is not None, x.page_id or 0, x._tie))
+
 
+def _shard(cuts: list) -> Column:
+    """The number of cuts up to a row: blocks of cuts first, then inside a block."""
+    if not cuts:
+        return F.lit(0)
+    lit = lambda x: F.struct(F.lit(x.page_id).cast("long").alias("page_id"), F.lit(x._tie).cast("long").alias("_tie"))
+    step, here = max(1, int(len(cuts) ** 0.5)), F.struct("page_id", "_tie")
+    outer, inner = F.array(*[lit(x) for x in cuts[step - 1 :: step]]), F.array(*[lit(x) for x in cuts])
+    block = F.size(F.filter(outer, lambda x: x <= here)) * step
+    return block + F.size(F.filter(F.slice(inner, block + 1, step), lambda x: x <= here))
 
-def write_archives(pages: DataFrame, root: str, scratch: Scratch, roll_bytes: int = 64 << 20, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write all ``pages`` (page_id, url, html) below ``root``; returns the manifest.
+
+def write_archives(pages: DataFrame, root: str, scratch: Scratch, roll_bytes: int = 64 << 20, shard_bytes: int = 64 << 20, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Write all ``pages`` (page_id, url, html) below ``root``; returns the manifest, which is beside the files.
 
     Of pages with equal payloads of at least ``least`` bytes, the one with the
     smallest page_id is a response and the others revisit it.  Payloads are told
-    apart by SHA-256; only those that occur more than once are joined back.
+    apart by SHA-256; only those that occur more than once are joined back.  Pages of
+    one id are in the order of a hash of url and payload; those that are equal in all
+    three go to one shard.
     """
     spark = pages.sparkSession
     store, base = open_fs(root)
     store.create_dir(base, recursive=True)
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("_key"))
+    rows = rows.withColumn("_tie", F.xxhash64("_key", F.coalesce("url", F.lit("")), F.col("url").isNull()))
     groups = rows.where(F.octet_length("html") >= least).groupBy("_key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     # written, so that Spark knows its size and may broadcast it, or split a payload that many pages share
     repeated = scratch.table(groups.where("n > 1").drop("n"), "repeated")
-    marked = rows.join(repeated, "_key", "left").withColumn("first", F.when(F.col("page_id") > F.col("first"), F.col("first")))
-    order = [F.col("page_id"), F.col("_key"), F.col("url")]
-    ranges = marked.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("page_id", "url", "html", "first")
-    return scratch.table(ranges.mapInArrow(_writer(root, roll_bytes, date), "shard int, seq int, path string, records long, bytes long, sha256 string"), "manifest")
+    order = [F.col("page_id"), F.col("_tie")]
+    cuts = _cuts(rows, order, scratch, shard_bytes)
+    marked = rows.join(repeated, "_key", "left").withColumn("first", F.when(F.col("page_id") > F.col("first"), F.col("first"))).withColumn("shard", _shard(cuts).cast("int"))
+    n = max(1, min(len(cuts) + 1, 4 * partitions(spark)))
+    # a shard is one task's, and a task may have several
+    ranges = marked.repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", *order, "_key", "url").select("shard", "page_id", "url", "html", "first")
+    ranges.mapInArrow(_writer(root, roll_bytes, date), "shard int, seq int, name string, records long, bytes long, sha256 string").write.mode("overwrite").parquet(f"{root}/manifest")
+    return spark.read.parquet(f"{root}/manifest")
 
 
 def members(f) -> Iterator[bytes]:
     """The records of an open archive, a chunk of the file at a time."""
     z, out = zlib.decompressobj(31), []
-    while chunk := f.read(1 << 20):
+    while chunk := f.read(1 << 16):  # small, as what follows a record in its chunk is copied
         while chunk:
             out.append(z.decompress(chunk))
             chunk = z.unused_data if z.eof else b""
@@ -146,11 +182,11 @@ def parse(data: bytes) -> dict:
 
 def _read(root: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = open_fs(root)
+        store, base = open_fs(root)
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for name in batch.column("name").to_pylist():
                 held: list[dict] = []
-                with store.open_input_file(path) as f:
+                with store.open_input_file(f"{base}/{name}") as f:
                     for data in members(f):
                         held.append(parse(data))
                         if len(held) >= 5000:
@@ -164,7 +200,7 @@ def _read(root: str):
 
 def read_archives(manifest: DataFrame, root: str) -> DataFrame:
     n = max(1, manifest.count())  # a task for each file
-    return manifest.select("shard", "seq", "path").repartitionByRange(n, "shard", "seq").mapInArrow(_read(root), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return manifest.select("shard", "seq", "name").repartitionByRange(n, "shard", "seq").mapInArrow(_read(root), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
