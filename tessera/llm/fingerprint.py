@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.mixing import WORD
-from tessera.llm.scratch import partitions
+from tessera.llm.ordering import cuts, number, opens
+from tessera.llm.scratch import Scratch, partitions
 
-MOST_BUCKETS = 10_000
+PREFIX = 32  # code points of a text that tell rows of one doc_id apart when ranges are cut
 
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = 128, width: int = 5) -> DataFrame:
@@ -58,29 +59,23 @@ def as_text(sketch: Column) -> Column:
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
-    """Deal ``docs`` into buckets of neighbouring doc_ids; the first document after a bucket comes along as its tail.
+    """Deal ``docs`` into ranges of descending doc_id and ascending text; the rows that open the next range come along as its tail.
 
-    The bounds are doc_ids of the table (approximate quantiles, found over all rows),
-    so the row that follows a bucket is the one at the next lower bound.  Ids are
-    looked up among blocks of bounds and then inside a block.
+    Ranges are cut at equal sums of bytes, by doc_id and the begin of the text, so
+    neither many rows of one id nor many without one are in one range.
     """
-    spark = docs.sparkSession
-    n = min(4 * partitions(spark), MOST_BUCKETS)
-    found = docs.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n)], 100 * n).alias("q"), F.max("doc_id").alias("m")).first()
-    bounds = sorted({*(found.q or []), found.m} - {None})
-    if not bounds:  # no ids at all: one bucket, which is its own tail
-        return docs.withColumn("_at", F.explode(F.array(F.struct(F.lit(0).alias("b"), F.lit(0).alias("tail")), F.struct(F.lit(0).alias("b"), F.lit(1).alias("tail")))))
-    step = max(1, int(len(bounds) ** 0.5))
-    inner = F.array(*[F.lit(x) for x in bounds])
-    outer = F.array(*[F.lit(x) for x in bounds[step - 1 :: step]])
-    id_ = F.col("doc_id")
-    docs = docs.withColumn("_block", F.when(id_.isNull(), 0).otherwise(F.size(F.filter(outer, lambda x: x < id_)) * step))
-    block = F.slice(inner, F.col("_block") + 1, step)
-    docs = docs.withColumn("_b", F.when(id_.isNull(), 0).otherwise(F.col("_block") + F.size(F.filter(block, lambda x: x < id_))))
+    scratch = Scratch(docs.sparkSession, "fingerprint")
+    id_, keys = F.col("doc_id").cast("long"), ["_none", "_down", "_begin"]
+    docs = docs.withColumns({"_none": id_.isNull(), "_down": F.coalesce(F.bitwise_not(id_), F.lit(0)), "_begin": F.substring("text", 1, PREFIX)})
+    sized = docs.select(*keys, (F.octet_length("text") + 64).cast("long").alias("size"))
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    found = cuts(sized, keys, "size", total // (4 * partitions(docs.sparkSession)), scratch)
+    if not found:
+        return docs.withColumn("_at", F.struct(F.lit(0).alias("b"), F.lit(0).alias("tail"))).drop(*keys)
+    docs = docs.withColumn("_b", number(sized, keys, found))
     own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("tail"))
-    tail = F.struct(((F.col("_b") + 1) % len(bounds)).alias("b"), F.lit(1).alias("tail"))
-    here = F.get(inner, F.col("_b")) == id_
-    return docs.withColumn("_at", F.explode(F.when(here, F.array(own, tail)).otherwise(F.array(own)))).drop("_block", "_b")
+    tail = F.struct(((F.col("_b") + (len(found) - 1)) % len(found)).alias("b"), F.lit(1).alias("tail"))
+    return docs.withColumn("_at", F.explode(F.when(opens(sized, keys, found, F.col("_b")), F.array(own, tail)).otherwise(F.array(own)))).drop("_b", *keys)
 
 
 def fingerprint_documents(docs: DataFrame, k: int = 128, width: int = 5) -> DataFrame:

@@ -17,11 +17,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.files import Committed, open_fs
-from tessera.llm.ordering import ranged, with_prefix
+from tessera.llm.ordering import cuts, number
 from tessera.llm.scratch import Scratch, partitions
 
 #: fixed values: the format
@@ -29,7 +29,6 @@ VERSION = b"WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
-MOST_SHARDS = 1 << 16
 MANIFEST = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
 
@@ -100,27 +99,6 @@ def _writer(root: str, roll_bytes: int, date: str):
     return write
 
 
-def _cuts(rows: DataFrame, order: list[Column], scratch: Scratch, shard_bytes: int) -> list:
-    """The first row (page_id, tie) of each shard but the first; at most ``MOST_SHARDS``, which follow from the sizes alone."""
-    light = rows.select("page_id", "_tie", F.octet_length("html").cast("long").alias("size"))
-    total = light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    step, n = max(shard_bytes, -(-total // MOST_SHARDS)), partitions(scratch.spark)
-    at = with_prefix(ranged(light, order, scratch, "sizes", n), order, {"before": "size"}, n)
-    firsts = at.groupBy(F.floor(F.col("before") / step).alias("shard")).agg(F.min(F.struct("page_id", "_tie")).alias("first")).where("shard > 0")
-    return sorted((r.first for r in firsts.select("first").collect()), key=lambda x: (x.page_id is not None, x.page_id or 0, x._tie))
-
-
-def _shard(cuts: list) -> Column:
-    """The number of cuts up to a row: blocks of cuts first, then inside a block."""
-    if not cuts:
-        return F.lit(0)
-    lit = lambda x: F.struct(F.lit(x.page_id).cast("long").alias("page_id"), F.lit(x._tie).cast("long").alias("_tie"))
-    step, here = max(1, int(len(cuts) ** 0.5)), F.struct("page_id", "_tie")
-    outer, inner = F.array(*[lit(x) for x in cuts[step - 1 :: step]]), F.array(*[lit(x) for x in cuts])
-    block = F.size(F.filter(outer, lambda x: x <= here)) * step
-    return block + F.size(F.filter(F.slice(inner, block + 1, step), lambda x: x <= here))
-
-
 def write_archives(pages: DataFrame, root: str, scratch: Scratch, roll_bytes: int = 64 << 20, shard_bytes: int = 64 << 20, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write all ``pages`` (page_id, url, html) below ``root``; returns the manifest, which is beside the files.
 
@@ -139,12 +117,12 @@ def write_archives(pages: DataFrame, root: str, scratch: Scratch, roll_bytes: in
     groups = rows.where(F.octet_length("html") >= least).groupBy("_key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     # written, so that Spark knows its size and may broadcast it, or split a payload that many pages share
     repeated = scratch.table(groups.where("n > 1").drop("n"), "repeated")
-    order = [F.col("page_id"), F.col("_tie")]
-    cuts = _cuts(rows, order, scratch, shard_bytes)
-    marked = rows.join(repeated, "_key", "left").withColumn("first", F.when(F.col("page_id") > F.col("first"), F.col("first"))).withColumn("shard", _shard(cuts).cast("int"))
-    n = max(1, min(len(cuts) + 1, 4 * partitions(spark)))
+    keys = ["page_id", "_tie"]
+    found = cuts(rows.withColumn("size", F.octet_length("html").cast("long")), keys, "size", shard_bytes, scratch)
+    marked = rows.join(repeated, "_key", "left").withColumn("first", F.when(F.col("page_id") > F.col("first"), F.col("first"))).withColumn("shard", number(rows, keys, found).cast("int"))
+    n = max(1, min(len(found), 4 * partitions(spark)))
     # a shard is one task's, and a task may have several
-    ranges = marked.repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", *order, "_key", "url").select("shard", "page_id", "url", "html", "first")
+    ranges = marked.repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard", *keys, "_key", "url").select("shard", "page_id", "url", "html", "first")
     ranges.mapInArrow(_writer(root, roll_bytes, date), "shard int, seq int, name string, records long, bytes long, sha256 string").write.mode("overwrite").parquet(f"{root}/manifest")
     return spark.read.parquet(f"{root}/manifest")
 

@@ -5,6 +5,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -109,3 +111,22 @@ def importance(rows, target, smoothing, stretch):
     ratio = {f: math.log((aim[f] + smoothing) / (n * wanted[f[0]] / max(1, size[f[0]]) + smoothing)) for f, n in every.items()}
     sums = [sum(ratio[f] for t in d for f in t) for d in found]
     return [x * stretch / max(3 * len(d), stretch) for x, d in zip(sums, found, strict=True)]
+
+
+def sketch(text, k=128, width=5):
+    """The k least hashes of the shingles, as signed numbers."""
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORDS.findall(text or "")]
+
+    def chain(values):
+        seed = 42
+        for x in values:
+            seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+        return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+    found = {chain(h[i : i + width]) for i in range(len(h) - width + 1)} if len(h) >= width else {chain(h)} if h else set()
+    return sorted(found)[:k]
+
+
+def likeness(a, b, k=128):
+    low = sorted({*a, *b})[:k]
+    return len(set(low) & set(a) & set(b)) / len(low) if low else 1.0
