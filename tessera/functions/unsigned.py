@@ -43,11 +43,29 @@ def bound(operation: Callable[..., Column], *operands: Column) -> Column:
     return F.get(F.transform(F.array(named), lambda s: operation(*[s[f"x{i}"] for i in range(len(operands))])), 0)
 
 
+def wrap_add_all(terms: list[Column]) -> Column:
+    """The sum of many terms: halves are summed apart, so each term is named twice, however many there are."""
+    low = balanced([t.bitwiseAND(_LOW) for t in terms])
+    high = balanced([F.shiftrightunsigned(t, 32) for t in terms]) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(_LOW))
+
+
+def balanced(terms: list[Column]) -> Column:
+    """A tree of sums of logarithmic depth."""
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
 def wrap_mul(a: Column, b: Column) -> Column:
-    limbs = [F.shiftrightunsigned(b, 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    low, high = a.bitwiseAND(_LOW), F.shiftrightunsigned(a, 32)
-    terms = [F.shiftleft(low * limb, 16 * i) for i, limb in enumerate(limbs)] + [F.shiftleft(high * limb, 32 + 16 * i) for i, limb in enumerate(limbs[:2])]
-    return F.aggregate(F.array(*terms), lit(0), wrap_add)
+    """Products of a 32-bit half and a 16-bit limb have 48 bits, so no sum of a few leaves the word."""
+    a0, a1 = a.bitwiseAND(_LOW), F.shiftrightunsigned(a, 32)
+    limb = [F.shiftrightunsigned(b, 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
+    p, q = a0 * limb[0], a0 * limb[1]
+    low = p + F.shiftleft(q.bitwiseAND(_LOW), 16)
+    crossed = a1 * limb[0] + a0 * limb[2] + F.shiftleft((a1 * limb[1] + a0 * limb[3]).bitwiseAND(0xFFFF), 16)
+    high = F.shiftrightunsigned(low, 32) + F.shiftleft(F.shiftrightunsigned(q, 32), 16) + crossed
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(_LOW))
 
 
 def shift_left(a: Column, n: int) -> Column:
@@ -85,7 +103,23 @@ def mod_word(x: Column) -> Column:
     return F.pmod(x.cast("decimal(38,0)"), F.lit(WORD_TEXT).cast("decimal(38,0)")).cast("decimal(20,0)")
 
 
-def sum_wrapped(x: Column) -> Column:
+_LIMB = 22  # a sum of 2^41 limbs fits a long
+
+
+def exact_sum(x: Column, most: int = WORD - 1) -> Column:
+    """The sum of unsigned numbers of at most ``most`` as decimal(38,0), exact for up to 2^41 rows; 0 for no rows.
+
+    Limbs are summed as longs, which is faster than decimals and cannot overflow as early.
+    """
+    limbs = range(0, max(1, most.bit_length()), _LIMB)
+    one = len(limbs) == 1
+    sums = [F.coalesce(F.sum(x if one else F.shiftrightunsigned(x, at).bitwiseAND((1 << _LIMB) - 1)), F.lit(0)).cast("decimal(38,0)") for at in limbs]
+    out = sums[0]
+    for at, part in zip(list(limbs)[1:], sums[1:], strict=True):
+        out = (out + (part * F.lit(Decimal(1 << at)).cast("decimal(14,0)")).cast("decimal(38,0)")).cast("decimal(38,0)")
+    return out
+
+
+def sum_wrapped(x: Column, most: int = WORD - 1) -> Column:
     """Sum mod 2^64 as decimal(20,0); 0 for no rows."""
-    total = F.coalesce(F.sum(x.cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
-    return mod_word(total)
+    return mod_word(exact_sum(x, most))

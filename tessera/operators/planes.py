@@ -27,6 +27,15 @@ def slice_planes(rows: DataFrame, position: str, field: str, planes: int = 64) -
     return grouped.select("block_id", F.array(*[F.col(f"_w{b}") if b < planes else U.lit(0) for b in range(64)]).alias("planes"), "n_rows")
 
 
+def slice_fields(rows: DataFrame, position: str, fields: list[str], planes: int = 64) -> DataFrame:
+    """(block_id, n_rows, an array of 64 words for each of ``fields``), in one grouping."""
+    row = F.pmod(F.col(position), F.lit(ROWS)).cast("int")
+    at = rows.select(F.floor(F.col(position) / ROWS).cast("bigint").alias("block_id"), F.call_function("shiftleft", U.lit(1), row).alias("_mask"), *[F.col(f).cast("bigint").alias(f"_v{i}") for i, f in enumerate(fields)])
+    words = [F.bit_or(F.when(_bit(F.col(f"_v{i}"), b) == 1, F.col("_mask")).otherwise(U.lit(0))).alias(f"_w{i}_{b}") for i in range(len(fields)) for b in range(planes)]
+    grouped = at.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_rows"), *words)
+    return grouped.select("block_id", "n_rows", *[F.array(*[F.col(f"_w{i}_{b}") if b < planes else U.lit(0) for b in range(64)]).alias(f) for i, f in enumerate(fields)])
+
+
 def as_rows(planes: DataFrame) -> DataFrame:
     """(block_id, bit, plane), a row for each word."""
     return planes.select("block_id", F.posexplode("planes").alias("bit", "plane"))

@@ -67,6 +67,8 @@ def _node(kind: str, *args: Node, value: int | None = None, name: str | None = N
     if kind not in KINDS:
         raise ExpressionError(f"no such operator: {kind}")
     wanted = KINDS[kind][0]
+    if kind == "popcnt" and len(args) == 1 and isinstance(args[0], Node) and args[0].result == MASK:
+        wanted = (MASK,)  # the votes of a mask
     if len(args) != len(wanted) or any(not isinstance(a, Node) or a.result != t for a, t in zip(args, wanted, strict=True)):
         raise ExpressionError(f"{kind} takes {wanted}, not {tuple(getattr(a, 'result', type(a).__name__) for a in args)}")
     if any(a.kind == "sum" for a in args) and kind != "add":

@@ -7,10 +7,10 @@ Catalyst folds and pushes down; elsewhere the wrapping forms.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import unsigned as U
@@ -31,16 +31,31 @@ class Value:
         return self.least >= 0 and self.most < U.HALF
 
 
-def balanced_sum(terms: list[Column]) -> Column:
-    """A tree of sums of logarithmic depth."""
-    while len(terms) > 1:
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-    return terms[0]
-
-
 class Lowering:
-    def __init__(self, schema: Schema):
+    """Columns of an expression.  With ``lets``, an operand that a wrapping form names several times gets a name of
+    its own, and ``bind`` adds the names to the rows below; without, it is bound inside the expression, which
+    needs no rows but is interpreted."""
+
+    def __init__(self, schema: Schema, lets: bool = False):
         self.schema = schema
+        self.lets: list[tuple[int, str, Column]] | None = [] if lets else None
+
+    def bind(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the named operands, a projection for each level of nesting."""
+        for level in sorted({x for x, _, _ in self.lets or ()}):
+            rows = rows.withColumns({name: c for x, name, c in self.lets if x == level})
+        return rows
+
+    def _operand(self, n: Node) -> Value:
+        """A value that may be named several times."""
+        begin = len(self.lets or ())
+        v = self.plane(n)
+        if self.lets is None or n.kind in ("load", "const"):
+            return v
+        level = 1 + max((x for x, _, _ in self.lets[begin:]), default=0)
+        name = f"__x{len(self.lets)}"
+        self.lets.append((level, name, v.column))
+        return replace(v, column=F.col(name))
 
     def mask(self, n: Node) -> Column:
         """A boolean; null where a field is null, which no filter or count takes for a match."""
@@ -58,7 +73,7 @@ class Lowering:
     def _compare(self, kind: str, x: Node, y: Node) -> Column:
         if x.kind == "const" and y.kind != "const":
             return self._compare({"gt": "lt", "lt": "gt", "ge": "le", "le": "ge", "eq": "eq"}[kind], y, x)
-        a, b = self.plane(x), self.plane(y)
+        a, b = self._operand(x), self._operand(y)
         if kind == "eq":
             return a.column == b.column
         if a.plain and b.plain:
@@ -86,23 +101,23 @@ class Lowering:
         return Value(U.lit(n.value), n.value % U.WORD, n.value % U.WORD)
 
     def _wrapped(self, operation, n: Node, a: Value, b: Value) -> Column:
-        leaves = all(x.kind in ("load", "const") for x in n.args)
-        return operation(a.column, b.column) if leaves else U.bound(operation, a.column, b.column)
+        named = self.lets is not None or all(x.kind in ("load", "const") for x in n.args)
+        return operation(a.column, b.column) if named else U.bound(operation, a.column, b.column)
 
     def _add(self, n: Node) -> Value:
-        a, b = self.plane(n.args[0]), self.plane(n.args[1])
+        a, b = self._operand(n.args[0]), self._operand(n.args[1])
         if a.plain and b.plain and a.most + b.most < U.HALF:
             return Value(a.column + b.column, a.least + b.least, a.most + b.most)
         return Value(self._wrapped(U.wrap_add, n, a, b), *ANY)
 
     def _sub(self, n: Node) -> Value:
-        a, b = self.plane(n.args[0]), self.plane(n.args[1])
+        a, b = self._operand(n.args[0]), self._operand(n.args[1])
         if a.plain and b.plain:  # no overflow of signed numbers, and the same bits
             return Value(a.column - b.column, *((a.least - b.most, a.most - b.least) if a.least >= b.most else ANY))
         return Value(self._wrapped(U.wrap_sub, n, a, b), *ANY)
 
     def _mul(self, n: Node) -> Value:
-        a, b = self.plane(n.args[0]), self.plane(n.args[1])
+        a, b = self._operand(n.args[0]), self._operand(n.args[1])
         if a.plain and b.plain and a.most * b.most < U.HALF:
             return Value(a.column * b.column, a.least * b.least, a.most * b.most)
         return Value(self._wrapped(U.wrap_mul, n, a, b), *ANY)
@@ -117,6 +132,8 @@ class Lowering:
         return Value(U.shift_right(a.column, n.value), a.least >> n.value, a.most >> n.value)
 
     def _popcnt(self, n: Node) -> Value:
+        if n.args[0].result == MASK:  # the votes of a mask: each row has one
+            return self._inference_count(n)
         return Value(F.bit_count(self.plane(n.args[0]).column).cast("bigint"), 0, 64)
 
     def _inference_count(self, n: Node) -> Value:
@@ -143,11 +160,12 @@ class Lowering:
             return F.when(self.mask(n), U.lit(n.weight)).otherwise(U.lit(0))
         return self.plane(n).column
 
-    def _steps(self, trees: list[Node]) -> tuple[list[Column], list[Node]]:
+    def _steps(self, trees: list[Node], offset: bool = False) -> tuple[list, list[Node]]:
         """Trees with one threshold and constant leaves, as one step function for each field; and the other trees.
 
         All trees of a field together are constant between its thresholds, so a row is
-        looked up by bisection instead of passing each tree.
+        looked up by bisection instead of passing each tree.  With ``offset``, values are
+        counted from the least one: (column, least value, greatest value from there).
         """
         jumps: dict[str, dict[int, int]] = {}
         lowest, absent, others = {}, {}, []
@@ -167,6 +185,9 @@ class Lowering:
             column, edges, values = self._load(Node("load", name=f)).column, sorted(found), [lowest[f]]
             for e in edges:
                 values.append(values[-1] + found[e])
+            none, least = absent[f], min(*values, absent[f])
+            if offset:
+                values, none = [v - least for v in values], none - least
 
             def bisect(low: int, high: int, column=column, edges=edges, values=values) -> Column:
                 if low == high:
@@ -174,39 +195,70 @@ class Lowering:
                 middle = (low + high) // 2
                 return F.when(column >= U.lit(edges[middle]), bisect(middle + 1, high)).otherwise(bisect(low, middle))
 
-            out.append(F.when(column.isNull(), U.lit(absent[f])).otherwise(bisect(0, len(edges))))
+            value = F.when(column.isNull(), U.lit(none)).otherwise(bisect(0, len(edges)))
+            out.append((value, least, max(*values, none)) if offset else value)
         return out, others
 
+    def _reach(self, trees: list[Node], constant: int) -> int:
+        return abs(constant) + sum(abs(U.signed(t.weight)) if t.result == MASK else self.plane(t).most for t in trees)
+
     def row_sum(self, n: Node) -> Column:
         """The whole sum of a row.  Many terms are folded over an array: one deep sum would become one huge method."""
         trees, constant = self.forest(n)
-        reach = abs(constant) + sum(abs(U.signed(t.weight)) if t.result == MASK else self.plane(t).most for t in trees)
+        begin = len(self.lets or ())
+        reach = self._reach(trees, constant)
+        if self.lets is not None:
+            del self.lets[begin:]  # the names of the first look
         steps, trees = self._steps(trees) if reach < U.HALF else ([], trees)
         terms = [*steps, *map(self.term, trees), *([U.lit(constant)] if constant else [])]
-        add = (lambda a, x: a + x) if reach < U.HALF else U.wrap_add
         if len(terms) <= 16:
-            return balanced_sum(terms) if reach < U.HALF else reduce(add, terms)
-        return F.aggregate(F.array(*terms), U.lit(0), add)
+            return U.balanced(terms) if reach < U.HALF else U.wrap_add_all(terms)
+        return F.aggregate(F.array(*terms), U.lit(0), (lambda a, x: a + x) if reach < U.HALF else U.wrap_add)
 
     def total(self, n: Node) -> Column:
         """The sum over all rows mod 2^64, as an aggregate.
 
-        A tree with constant leaves is a count of matches times the difference of its
-        leaves; all such trees together need one pass and no row value.
+        Trees with one threshold and constant leaves are one step function for each
+        field, whose values are summed.  Another tree with constant leaves is a count of
+        matches times the difference of its leaves; what is left is summed as it is.
         """
         trees, constant = self.forest(n)
-        base, parts, rest = constant, [], []
+        base, parts = constant, []
+        simple = [t for t in trees if t.result != MASK and t.kind == "select" and t.args[1].kind == t.args[2].kind == "const"]
+        steps, counted = self._steps(simple, offset=True) if sum(abs(U.signed(a.value)) for t in simple for a in t.args[1:]) < U.HALF else ([], simple)
+        for column, least, most in steps:
+            base += least
+            parts.append(U.exact_sum(column, most))
         for t in trees:
             if t.result == MASK:
                 parts.append(F.count_if(self.mask(t)).cast("decimal(38,0)") * U.signed(t.weight))
-            elif t.kind == "select" and t.args[1].kind == t.args[2].kind == "const":
+            elif any(t is x for x in counted):
                 high, low = U.signed(t.args[1].value), U.signed(t.args[2].value)
                 base += low
                 parts.append(F.count_if(self.mask(t.args[0])).cast("decimal(38,0)") * (high - low))
-            else:
-                rest.append(F.coalesce(F.sum(self.plane(t).column.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)"))
+            elif not any(t is x for x in simple):
+                v = self.plane(t)
+                parts.append(U.exact_sum(v.column, v.most if v.plain else U.WORD - 1))
         every = F.count(F.lit(1)).cast("decimal(38,0)") * base
-        return U.mod_word(reduce(lambda a, b: (a + b).cast("decimal(38,0)"), [every, *parts, *rest]))
+        return U.mod_word(reduce(lambda a, b: (a + b).cast("decimal(38,0)"), [every, *parts]))
+
+    # what a predicate says about stored columns
+
+    def implied(self, n: Node) -> Column | None:
+        """A condition on the columns that fields are made from, which holds wherever the mask ``n`` does; None if there is none."""
+        if n.kind in ("and", "or"):
+            a, b = (self.implied(x) for x in n.args)
+            if n.kind == "or":
+                return None if a is None or b is None else a | b
+            return b if a is None else a if b is None else a & b
+        if n.kind not in ("gt", "ge", "lt", "le", "eq"):
+            return None
+        x, y, kind = *n.args, n.kind
+        if x.kind == "const":
+            x, y, kind = y, x, {"gt": "lt", "lt": "gt", "ge": "le", "le": "ge", "eq": "eq"}[kind]
+        if x.kind != "load" or y.kind != "const" or not self.plane(x).plain or not 0 <= y.value < U.HALF:
+            return None
+        return self.schema.field(x.name).stored_where(kind, y.value)
 
 
 def is_forest(n: Node) -> bool:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: names of field types: width in bits and whether the sign counts at the edge
@@ -19,7 +22,8 @@ class Field:
     """``least`` and ``most`` bound the values; without them any 64-bit pattern may occur.
 
     ``scale`` turns a decimal or floating number into an integer on load (0.05 with
-    the scale 10000 is 500).
+    the scale 10000 is 500).  ``stored`` names the column that the field is made from,
+    a number or, with ``dated``, a time without zone that becomes the number YYYYMMDD.
     """
 
     name: str
@@ -28,6 +32,34 @@ class Field:
     scale: int = 1
     least: int | None = None
     most: int | None = None
+    stored: str | None = None
+    dated: bool = False
+
+    def load(self) -> Column:
+        """The field, made from its stored column."""
+        x = F.col(f"`{self.stored}`")
+        if self.dated:
+            return F.date_format(x, "yyyyMMdd").cast("bigint").alias(self.name)
+        return (x if self.type != "float64" and self.scale == 1 else F.round(x * self.scale)).cast("bigint").alias(self.name)
+
+    def stored_where(self, kind: str, value: int) -> Column | None:
+        """A condition on the stored column that holds wherever the field compares so with ``value``; None if there is none.
+
+        Numbers are rounded on load, so bounds are half a unit, and a little, wider.
+        """
+        if self.stored is None:
+            return None
+        x = F.col(f"`{self.stored}`")
+        if self.dated:
+            try:
+                day = date(value // 10000, value // 100 % 100, value % 100)
+            except ValueError:
+                return None
+            at = lambda d: F.expr(f"timestamp_ntz'{d.isoformat()}'")
+            low, high = x >= at(day), x < at(day + timedelta(kind != "lt"))
+        else:
+            low, high = x >= (value - 0.6) / self.scale, x <= (value + 0.6) / self.scale
+        return {"gt": low, "ge": low, "lt": high, "le": high, "eq": low & high}[kind]
 
     def bounds(self) -> tuple[int, int]:
         bits, sign = TYPES[self.type]
@@ -58,6 +90,10 @@ class Schema:
                 return f
         raise SchemaError(f"{self.name} has no field {name}")
 
+    def view(self, stored: DataFrame) -> DataFrame:
+        """The fields, made from the table that stores them."""
+        return stored.select(*[f.load() for f in self.fields if f.stored])
+
     def to_spark(self) -> T.StructType:
         return T.StructType([T.StructField(f.name, T.LongType(), True, {"offset": f.offset, "type": f.type, "scale": f.scale}) for f in self.fields])
 

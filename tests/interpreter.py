@@ -16,6 +16,8 @@ def plane(n, rows):
         return mask(n.args[0], rows).astype(W)
     if k == "select":
         return np.where(mask(n.args[0], rows), plane(n.args[1], rows), plane(n.args[2], rows))
+    if k == "popcnt" and n.args[0].result == "mask":
+        return mask(n.args[0], rows).astype(W)
     a = plane(n.args[0], rows)
     if k == "popcnt":
         return np.bitwise_count(a).astype(W)

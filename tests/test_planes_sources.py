@@ -11,7 +11,7 @@ from tessera.sources.binary import from_buffer, numpy_type, read_binary
 
 
 def frame(spark, values):
-    return spark.createDataFrame(pd.DataFrame({"position": np.arange(len(values)), "v": np.array(values, np.uint64).view(np.int64)}))
+    return spark.createDataFrame(pd.DataFrame({"position": np.arange(len(values)), "v": np.array(values, np.uint64).view(np.int64)}), "position long, v long")
 
 
 def test_laws(spark):
@@ -40,6 +40,8 @@ def test_binary(spark, tmp_path):
     rows = np.zeros(1000, numpy_type(odd))
     rows["x"], rows["y"], rows["z"] = np.arange(1000), 7, 0.25
     (tmp_path / "a.bin").write_bytes(rows.tobytes())
+    cut = read_binary(spark, str(tmp_path), odd, chunk_bytes=1000)  # many chunks of one file
+    assert sorted(tuple(r)[1:] for r in cut.collect()) == [(i, i, 7, 25) for i in range(1000)] and cut.rdd.getNumPartitions() > 1
     got = read_binary(spark, str(tmp_path), odd)
     assert got.where("x > 10").count() == 989 and got.agg(F.sum("z")).first()[0] == 25_000 and got.agg(F.min("y")).first()[0] == 7
     assert from_buffer(spark, rows.tobytes(), odd).where("x = seq").count() == 1000
