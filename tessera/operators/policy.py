@@ -72,15 +72,16 @@ def _latest(asks: DataFrame, marks: DataFrame, key: str, out: str) -> DataFrame:
     """
     kept = F.struct(*[F.col(c) for c in asks.columns])
     none = F.lit(None).cast(asks.select(kept.alias("x")).schema["x"].dataType)
-    both = marks.select("sandbox", F.col("pid").alias("_p"), "seq", F.col("seq").alias("_mark"), none.alias("_row"))
-    both = both.union(asks.select("sandbox", F.col(key).alias("_p"), "seq", F.lit(None).cast("bigint"), kept)).withColumn("_s", F.shiftright("seq", STRETCH_BITS))
-    ends = both.groupBy("sandbox", "_p", "_s").agg(F.max("_mark").alias("_end"))
-    before = Window.partitionBy("sandbox", "_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
-    carried = ends.select(*_keys("sandbox", "_p", "_s"), F.max("_end").over(before).alias("_before")).where("_before is not null")
-    here = Window.partitionBy("sandbox", "_p", "_s").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("_here", F.max("_mark").over(here)).where("_row is not null")
-    found = _same(found, carried, ["sandbox", "_p", "_s"], "left")
-    return found.select("_row.*", F.when(F.col("_p").isNotNull(), F.coalesce("_here", "_before")).alias(out))
+    # keys that are never null, so that the windows and the join below share one shuffle
+    keys = ["_box", "_p", "_nulls", "_s"]
+    named = lambda k: [F.coalesce("sandbox", F.lit(0)).alias("_box"), F.coalesce(k, F.lit(0)).alias("_p"), (F.col("sandbox").isNull().cast("int") + 2 * F.col(k).isNull().cast("int")).alias("_nulls"), F.shiftright("seq", STRETCH_BITS).alias("_s"), "seq"]
+    both = marks.select(*named("pid"), F.col("seq").alias("_mark"), none.alias("_row")).union(asks.select(*named(key), F.lit(None).cast("bigint"), kept))
+    ends = both.groupBy(*keys).agg(F.max("_mark").alias("_end"))
+    order = Window.partitionBy(*keys[:3]).orderBy("_s")  # a row a stretch
+    carried = ends.withColumn("_before", F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("_before is not null").drop("_end")
+    here = Window.partitionBy(*keys).orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_here", F.max("_mark").over(here)).where("_row is not null").join(carried, keys, "left")
+    return found.select("_row.*", F.when(F.col("_nulls") < 2, F.coalesce("_here", "_before")).alias(out))
 
 
 def taint(events: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
