@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op2_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": oracles.REPEATS,
     "op3_sharded_warc": oracles.WARC,
+    "op4_byte_prefix_sharding": oracles.SHARDS,
     "op5_weighted_mixing": oracles.MIX,
     "op6_ngram_jaccard_join": oracles.JOIN,
 }

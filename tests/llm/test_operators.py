@@ -67,6 +67,56 @@ def test_op1(docs, rows, none):
 
     same([tuple(r)[:5] for r in remove_repeats(docs).collect()], plain.repeats(rows))
     assert remove_repeats(none).count() == 0
+    same([tuple(r)[:5] for r in remove_repeats(docs, 97).collect()], plain.repeats(rows))  # chunks that cut everything
+
+
+def test_op1_periods(spark):
+    """Texts that repeat themselves: few rows stand for them, and all is found."""
+    from tessera.llm.suffix_dedup import anchors, remove_repeats
+
+    r = random.Random(21)
+    noise = lambda n: "".join(r.choice("abcdefgh \n") for _ in range(n))
+    texts = ["a" * 20_000, "ab" * 10_000, noise(90) * 60, "x" * 200, "x" * 201, noise(150) + "q" * 500 + noise(150), (noise(30) + "zz" * 180) * 3, "".join(noise(3) * 70 for _ in range(20)), "abc" * 80 + noise(100) + "abc" * 80]
+    texts += [texts[2][:3000] + "!" + texts[2][3000:], noise(400)]
+    rows = list(enumerate(texts))
+    for chunk in (1 << 19, 333):
+        same([tuple(x)[:5] for x in remove_repeats(frame(spark, rows), chunk).collect()], plain.repeats(rows))
+    for t in texts[:2]:
+        found = list(anchors(np.frombuffer(t.encode(), np.uint8)))
+        assert sum(len(x[3]) for x in found) < 150 and sum((b - a for x in found for a, b in x[4].tolist()), 0) > 19_700
+
+
+def test_op1_long_text():
+    """A text of 60 MB: memory beside it does not grow with it."""
+    import tracemalloc
+
+    from tessera.llm.suffix_dedup import anchors
+
+    data = np.random.default_rng(2).integers(97, 105, 60_000_000).astype(np.uint8)
+    tracemalloc.start()
+    n = sum(len(found[3]) for found, _ in zip(anchors(data), range(12), strict=False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 50_000 and peak < 150e6
+
+
+def test_sql(spark):
+    """Every query with SQL against DuckDB on the smallest tables."""
+    import glob
+
+    import duckdb
+
+    from tessera.llm import registry
+
+    data, duck = "/root/testdata/sf0.001", duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        duck.sql(f"create view {f.rsplit('/', 1)[1][:-8]} as select * from '{f}'")
+    for name, sql in registry.ORACLES.items():
+        got, want = registry.QUERIES[name](spark, data), duck.sql(sql)
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns), name
+        at = [want.columns.index(c) for c in columns]
+        same([tuple(r[c] for c in columns) for r in got.collect()], [tuple(r[i] for i in at) for r in want.fetchall()])
 
 
 def test_op2(spark, docs, rows, none, tmp_path, monkeypatch):
