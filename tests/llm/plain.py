@@ -130,3 +130,21 @@ def sketch(text, k=128, width=5):
 def likeness(a, b, k=128):
     low = sorted({*a, *b})[:k]
     return len(set(low) & set(a) & set(b)) / len(low) if low else 1.0
+
+
+def em(rows, rounds=40):
+    """EM with NumPy-free loops over single spans (votes of four labelers, shape): prior, tables [labeler][class][vote], posteriors."""
+    prior, table = 0.5, [[[0.34, 0.6, 0.06], [0.33, 0.07, 0.6]] for _ in range(4)]
+    for _ in range(rounds):
+        post = []
+        for votes, _ in rows:
+            real, false = prior, 1 - prior
+            for j, v in enumerate(votes):
+                real, false = real * table[j][1][v], false * table[j][0][v]
+            post.append(real / (real + false))
+        prior = (sum(post) + 1) / (len(rows) + 2)
+        for j in range(4):
+            for cls in (0, 1):
+                mass = [1 + sum((p if cls else 1 - p) for p, (votes, _) in zip(post, rows, strict=True) if votes[j] == v) for v in range(3)]
+                table[j][cls] = [x / sum(mass) for x in mass]
+    return prior, table, post

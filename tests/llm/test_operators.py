@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -554,6 +555,72 @@ def test_op10(spark, docs, none):
     assert model[0]["weights"][3][2] > 0 > model[0]["weights"][2][1]
 
 
+def test_op10_em():
+    """The fit over the histogram against one over single spans."""
+    from tessera.llm.pii import SHAPES, fit
+
+    r = random.Random(5)
+    rows = []
+    for _ in range(300):
+        real = r.random() < 0.6
+        rows.append(([0, *[r.choices([0, 1, 2], [3, 1, 6] if real else [3, 6, 1])[0] for _ in range(3)]], r.randrange(4) + 4 * real))
+    counts = {}
+    for votes, shape in rows:
+        key = (1, sum(v * 3**j for j, v in enumerate(votes)), shape)
+        counts[key] = counts.get(key, 0) + 1
+    model = fit([(*k, n) for k, n in counts.items()])
+    prior, table, post = plain.em(rows)
+    assert model[1]["prior"] == pytest.approx(np.log(prior / (1 - prior)), abs=1e-6)
+    for j in range(4):
+        assert model[1]["weights"][j] == pytest.approx([np.log(table[j][1][v] / table[j][0][v]) for v in range(3)], abs=1e-6)
+    mass = [[1 + sum(p if cls else 1 - p for p, (_, x) in zip(post, rows, strict=True) if x == s) for s in range(SHAPES)] for cls in (0, 1)]
+    assert model[1]["shapes"] == pytest.approx([np.log(mass[1][s] / sum(mass[1]) / (mass[0][s] / sum(mass[0]))) for s in range(SHAPES)], abs=1e-6)
+
+
+def luhn_digits(r, first):
+    d = first + "".join(r.choice("0123456789") for _ in range(15 - len(first)))
+    return next(d + c for c in "0123456789" if plain.luhn(d + c))
+
+
+def test_op10_added(spark):
+    """Held-out accuracy of what the method adds, kind by kind, and texts with very many spans."""
+    from tessera.llm.pii import find_personal_data
+
+    r = random.Random(31)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    area = lambda: r.choice("23456789") + r.choice("023456789") + r.choice("023456789")
+    dotted = lambda d: ".".join(d[i : i + 4] for i in range(0, 16, 4))
+    real = {
+        "email": lambda: f"{r.choice(['mail me at', 'contact'])} u{digits(3)} (at) site{digits(2)} (dot) {r.choice(['com', 'org', 'de'])}",
+        "ip": lambda: f"server {r.choice(['8', '52', '93'])}[.]{r.randrange(256)}[.]{r.randrange(256)}[.]{r.randrange(256)}",
+        "card": lambda: f"card {dotted(luhn_digits(r, r.choice(['4', '51', '55'])))}",
+        "phone": lambda: f"call {area()}-{area()}-{digits(4)}",
+    }
+    false = {
+        "email": lambda: f"arrive {r.choice(['early', 'late'])} (at) gate{digits(1)}. Nothing{r.choice('abc')}",
+        "ip": lambda: f"section 300[.]{r.randrange(300, 999)}[.]{r.randrange(300, 999)}[.]{r.randrange(300, 999)}",
+        "card": lambda: f"part no {dotted('9' + digits(14) + 'x')[:-1]}{r.choice('0123456789')}",
+        "phone": lambda: f"item 0{digits(2)}-1{digits(2)}-{digits(4)}",
+    }
+    rows, truth = [], {}
+    for i in range(600):
+        kind = ("email", "ip", "card", "phone")[i % 4]
+        truth[i] = kind if r.random() < 0.6 else None
+        rows.append((i, f"Lorem {digits(1)} ipsum, {(real if truth[i] else false)[kind]()} and so on."))
+    got = {x.doc_id: {s.split(":")[0] for s in x.spans.split(",") if s} for x in find_personal_data(frame(spark, rows)).collect()}
+    for kind in real:
+        found = [i for i in truth if kind in got[i]]
+        right = [i for i in found if truth[i] == kind]
+        wanted = [i for i in truth if truth[i] == kind]
+        assert len(right) >= 0.9 * len(wanted) and len(right) >= 0.9 * len(found), (kind, len(right), len(found), len(wanted))
+    many = [(1, "a@b.co " * 20_000 + "x (at) y (dot) com"), (2, "1.2.3.4 +1 269 555 3296 " * 3_000)]
+    began = time.time()
+    for x, (_, t) in zip(sorted(find_personal_data(frame(spark, many)).collect()), many, strict=True):
+        base = plain.personal(t)
+        assert x.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base).encode()).hexdigest()
+    assert time.time() - began < 60
+
+
 def test_ordering_and_scratch(spark):
     from tessera.llm.ordering import ranged, with_prefix
     from tessera.llm.scratch import Scratch
