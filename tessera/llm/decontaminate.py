@@ -13,14 +13,17 @@ common pairs of an item are left out, and the number that is asked for is lowere
 as many; how common a pair is follows from how often its words occur.
 
 The items are a query set.  They are taken to the tasks in blocks of a bounded
-number of words, each block against all documents; nothing is shuffled but word
-counts.
+number of words, ``SCAN_BLOCKS`` blocks in one pass over the documents and one pass
+that counts their words; nothing is shuffled but word counts.  Spark sends what is
+over 1 MB of a function to each executor once, as a broadcast variable.  An item is
+never cut, so an item of more words than a block is a block of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ STEPS = (1, 2)  # from the first to the second word of a seed
 LEAST = 0.4  # share of the score of an exact copy from which an alignment is a leak
 MATCH, MISMATCH, GAP = 2, 1, 1
 BLOCK_WORDS = 500_000
+SCAN_BLOCKS = 4
 _FILTER_BITS = 22
 
 _WORD = np.zeros(256, bool)
@@ -199,25 +203,34 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[Item]]:
         yield held
 
 
-def fitted_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
-    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    for items in _blocks(benchmark):
-        vocabulary = np.unique(np.concatenate([i.words for i in items]))
-        # as many rows as the block has distinct words, and the total
+def fitted_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Block]]:
+    """The blocks of each pass, with seeds chosen by how often their words occur in all of ``docs``."""
+    text, blocks = docs.select(F.coalesce("text", F.lit("")).alias("text")), _blocks(benchmark)
+    while group := list(islice(blocks, SCAN_BLOCKS)):
+        vocabulary = np.unique(np.concatenate([i.words for items in group for i in items]))
+        # as many rows as the blocks have distinct words, and the total
         counted = text.mapInArrow(_counter(vocabulary), "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-        yield seeded(items, {int(np.int64(r.word).view(np.uint64)): r.n for r in counted}, sum(r.total for r in counted))
+        counts, total = {int(np.int64(r.word).view(np.uint64)): r.n for r in counted}, sum(r.total for r in counted)
+        yield [seeded(items, counts, total) for items in group]
 
 
-def _matcher(block: Block):
+def _found(h: np.ndarray, blocks: list[tuple[Block, np.ndarray]]) -> Iterator[tuple]:
+    """(item_id, score, first word, word after the last) of each item that leaked into the words ``h``."""
+    for block, table in blocks:
+        for o, score, a, b in matches(h, block, table):
+            yield block.items[o].item_id, score, a, b
+
+
+def _matcher(blocks: list[Block]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = block.table()
+        tables = [(b, b.table()) for b in blocks]
         for batch in batches:
             ids, out = iter(batch.column("doc_id").to_pylist()), []
             for texts in slices(raw(batch.column("text"))):
                 h, first = words(texts)
                 for i in range(len(texts)):
                     doc_id = next(ids)
-                    out.extend((doc_id, block.items[o].item_id, score, a, b) for o, score, a, b in matches(h[first[i] : first[i + 1]], block, table))
+                    out.extend((doc_id, *x) for x in _found(h[first[i] : first[i + 1]], tables))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
@@ -234,20 +247,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     scratch, out = Scratch(docs.sparkSession, "leaks"), None
-    for k, block in enumerate(fitted_blocks(docs, benchmark)):
-        found = scratch.table(rows.mapInArrow(_matcher(block), "doc_id long, item_id long, score double, first_word long, end_word long"), f"block-{k}")
+    for k, blocks in enumerate(fitted_blocks(docs, benchmark)):
+        found = scratch.table(rows.mapInArrow(_matcher(blocks), "doc_id long, item_id long, score double, first_word long, end_word long"), f"pass-{k}")
         out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
-def _cleaner(block: Block):
+def _cleaner(blocks: list[Block]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = block.table()
+        tables = [(b, b.table()) for b in blocks]
         for batch in batches:
             clean = []
             for texts in slices(raw(batch.column("text"))):
                 h, first = words(texts)
-                clean.extend(next(matches(h[first[i] : first[i + 1]], block, table), None) is None for i in range(len(texts)))
+                clean.extend(next(_found(h[first[i] : first[i + 1]], tables), None) is None for i in range(len(texts)))
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return rows
@@ -256,6 +269,6 @@ def _cleaner(block: Block):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without test items, with the columns of ``docs``."""
     out = wrapped(docs, text=F.coalesce("text", F.lit("")))
-    for block in fitted_blocks(docs, benchmark):
-        out = out.mapInArrow(_cleaner(block), out.schema)
+    for blocks in fitted_blocks(docs, benchmark):
+        out = out.mapInArrow(_cleaner(blocks), out.schema)
     return unwrapped(out)

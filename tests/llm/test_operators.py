@@ -380,6 +380,33 @@ def test_op7(spark, docs, none):
         assert align(a, b)[0] == plain.align(a.tolist(), b.tolist())
 
 
+def test_op7_all_pairs(spark, monkeypatch):
+    """What is found is what Smith-Waterman over all pairs of documents and items accepts, in one pass or several."""
+    import re
+
+    from tessera.llm import decontaminate
+
+    r = random.Random(17)
+    items = [(k, " ".join(words(r, r.randrange(3, 26), 60))) for k in range(14)]
+    docs = []
+    for i in range(60):
+        w = words(r, r.randrange(0, 50), 60)
+        for _ in range(r.randrange(3)):
+            copy = [x for x in r.choice(items)[1].split() for x in ([x], [], [x, "more"], ["other"])[r.choices(range(4), [6, 1, 1, 1])[0]]]
+            at = r.randrange(len(w) + 1)
+            w[at:at] = copy
+        docs.append((i, " ".join(w)))
+    cut = lambda t: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t.lower())
+    want = {(i, k): s for i, t in docs for k, x in items if (s := plain.align(cut(x), cut(t))) >= decontaminate.LEAST}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_words, scan in ((500_000, 4), (30, 2)):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+        monkeypatch.setattr(decontaminate, "SCAN_BLOCKS", scan)
+        assert {(x.doc_id, x.item_id): x.score for x in decontaminate.find_leaks(frame(spark, docs), bench).collect()} == want
+    assert {x.doc_id for x in decontaminate.drop_leaks(frame(spark, docs), bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    assert 20 < len(want) < 14 * 60 / 2
+
+
 def test_op7_edits():
     """Whatever the alignment accepts is found, with no three words in a row intact and with common words."""
     from tessera.llm.decontaminate import LEAST, Item, align, matches, seeded
