@@ -13,12 +13,12 @@ what is left cannot lift it to its bound.
 Row blocks may hold large groups of near copies, so not all pairs of one are
 formed.  What matters are links between different components of a row block.
 Where few of its sets are outside its largest component, those are held against
-all of its sets.  Elsewhere some hubs are held against all sets and leave the
-block, as all their pairs are done; the links found join components, and the rest
-goes into the next round.  If hubs no longer join anything, the sets outside the
-largest component are held against all.  So no link between two components is
-lost, and the pairs of each round are in proportion to the listings.  Pairs must
-pass bounds on sizes and on parities of n-gram counts before they become rows.
+all of its sets.  Elsewhere some hubs are held against all sets, and the links found
+join components before the next hubs are chosen.  After ``ROUNDS`` rounds, or when
+hubs no longer join anything, the sets outside the largest component are held
+against all.  So no link between two components is lost, and the pairs of a round
+are in proportion to the listings.  Pairs must pass bounds on sizes and on parities
+of n-gram counts before they become rows.
 Sets are nodes: copies of one set never form pairs.
 
 Links are counted apart: both ends of a link lie in one component, so the sets of
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bytehash import mix
 from tessera.llm.components import components
 from tessera.llm.rows import unwrapped, wrapped
-from tessera.llm.scratch import Scratch
+from tessera.llm.scratch import Scratch, partitions
 from tessera.llm.shingles import raw, sets, slices
 
 CLASS_RATIO = 1.5
@@ -57,7 +57,7 @@ PASS_PAIRS = 20_000
 BROADCAST_IDS = 1_000_000
 OUTSIDE = 8  # sets of a row block outside its largest component that are held against all of its sets at once
 HUBS = 8  # else, hubs of a row block in each round
-ROUNDS = 16  # rounds of hubs, before the sets outside the largest component are held against all
+ROUNDS = 2  # rounds of hubs, before the sets outside the largest component are held against all
 CELL_SETS = 1024  # hubs of a row block that one task holds against its sets
 BLOCK_SETS = 512  # sets and n-grams, on average, of a block of one component whose links are counted
 BLOCK_GRAMS = 1 << 18
@@ -276,6 +276,33 @@ def _sums(t: Fraction, *sides: str):
     return rows
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted listings (sig, s), those whose sig another set of the partition has too, and ``edge`` ones: a sig with
+    one set at the begin or the end of the partition, which may go on in the next one."""
+    sig, s, member, begun = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), False
+
+    def rows(some: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(sig[some]), pa.array(s[some]), pa.array(edge[some])], names=["sig", "s", "edge"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        before = len(sig)  # the row that was held back
+        sig, s = np.r_[sig, batch.column("sig").to_numpy()], np.r_[s, batch.column("s").to_numpy()]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (s[1:] != s[:-1])]
+        sig, s = sig[new], s[new]
+        known = np.r_[member[:before], np.zeros(len(sig) - before, bool)] if before else np.zeros(len(sig), bool)
+        same = sig[1:] == sig[:-1]
+        member = known | np.r_[False, same] | np.r_[same, False]
+        edge = np.zeros(len(sig), bool)
+        if not begun and len(sig) > 1:
+            edge[0], begun = not member[0], True
+        yield rows(np.flatnonzero((member | edge)[:-1]), edge)
+        sig, s, member = sig[-1:], s[-1:], member[-1:]
+    if len(sig):
+        yield rows(np.array([0]), ~member)
+
+
 class Join:
     """One run of the join over ``rows`` (k, j: a key of the row, text)."""
 
@@ -290,18 +317,25 @@ class Join:
         self.grams: DataFrame | None = None  # (id, grams) of the sets that were fetched
 
     def _members(self) -> DataFrame:
-        """(sig, id, n, p0 ..): the sets of each row block of two or more."""
-        scratch, out = self.scratch, None
+        """(sig, id, n, p0 ..): the sets of each row block of two or more.
+
+        Listings are sorted by ranges of (sig, s), so one shuffle shows the blocks, and a
+        block with a third of all sets lies in many ranges.
+        """
+        scratch, out, n = self.scratch, None, partitions(self.scratch.spark)
         attributes = self.sets.select("s", "id", "n", "p0", "p1", "p2", "p3")
         for g in range(LISTINGS):
-            listed = self.entries.where("n > 0").select("s", F.explode(f"sig_{g}").alias("sig"))
-            blocks = listed.groupBy("sig").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x != y").select("sig")
-            blocks = scratch.table(blocks, f"blocks-{g}")
+            listed = self.entries.where("n > 0").select(F.explode(f"sig_{g}").alias("sig"), "s")
+            runs = listed.repartitionByRange(n, "sig", "s").sortWithinPartitions("sig", "s").mapInArrow(_runs, "sig long, s long, edge boolean")
+            runs = scratch.table(runs, f"runs-{g}")
             scratch.release()
-            some = scratch.table(listed.join(blocks, "sig").distinct().join(attributes, "s").drop("s"), f"members-{g}")
+            # at most two rows a range: those whose sig has another set in another range stay
+            edges = runs.where("edge").select("sig", "s")
+            shared = runs.join(F.broadcast(edges.select("sig").distinct()), "sig").groupBy("sig").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x != y").select("sig")
+            found = runs.where("not edge").select("sig", "s").union(edges.join(F.broadcast(shared), "sig").distinct())
+            some = scratch.table(found.join(attributes, "s").drop("s"), f"members-{g}")
             out = some if out is None else out.union(some)
-            scratch.drop(f"blocks-{g}")
-            scratch.release()
+            scratch.drop(f"runs-{g}")
         return out
 
     def _possible(self, na: Column, nb: Column, odd: Column) -> Column:
@@ -374,7 +408,8 @@ class Join:
             blocks = scratch.table(sizes.select("sig", "big", "outside", F.when((F.col("outside") <= OUTSIDE) | F.lit(last), F.col("outside")).otherwise(HUBS).alias("held"), ((F.col("outside") > OUTSIDE) & ~F.lit(last)).alias("large")), f"sizes-{round_}")
             open_ = scratch.table(named.join(blocks, "sig"), f"open-{round_}")
             large = open_.where("large")
-            chosen = large.groupBy("sig", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("part")).agg(F.min("id").alias("id")).drop("part")
+            deal = F.xxhash64("id", F.lit(round_))  # other hubs in each round
+            chosen = large.groupBy("sig", F.pmod(deal, F.lit(HUBS)).alias("part")).agg(F.min("id").alias("id")).drop("part")
             chosen = scratch.table(chosen, f"hubs-{round_}")
             hubs = open_.where("not large and c != big").unionByName(large.join(chosen, ["sig", "id"]))
             pairs = scratch.table(self._pairs(open_, hubs), f"pairs-{round_}")
@@ -389,8 +424,8 @@ class Join:
                 found = self._joined(found, links, round_)
             done = large.isEmpty()
             if not done:
-                members = scratch.table(large.join(chosen, ["sig", "id"], "left_anti").select("sig", "id", "n", "p0", "p1", "p2", "p3"), f"members-after-{round_}")
-            scratch.drop(*[f"{x}-{round_}" for x in ("named", "sizes", "open", "hubs", "pairs", "round")], *([f"members-after-{round_ - 1}"] if round_ else [f"members-{g}" for g in range(LISTINGS)]))
+                members = large.select("sig", "id", "n", "p0", "p1", "p2", "p3")
+            scratch.drop(*[f"{x}-{round_}" for x in ("named", "sizes", "hubs", "pairs")], *([f"open-{round_ - 1}"] if round_ else [f"members-{g}" for g in range(LISTINGS)]))
             scratch.release()
             if done:
                 break

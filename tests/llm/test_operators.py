@@ -344,6 +344,34 @@ def test_op6_rounds(spark, monkeypatch, outside, hubs, rounds):
     assert 5 < len({c for _, _, c in plain.components(rows[:60], 5, 4, 5)}) < 60
 
 
+def test_op6_runs():
+    """Blocks of sorted listings, however they are cut into partitions and batches."""
+    import pyarrow as pa
+
+    from tessera.llm.ngram_join import _runs
+
+    r = random.Random(3)
+    for _ in range(200):
+        listed = sorted((r.randrange(12), r.randrange(6)) for _ in range(r.randrange(1, 40)))
+        cuts = sorted(r.randrange(len(listed) + 1) for _ in range(r.randrange(4)))
+        kept, edges = set(), set()
+        for a, b in zip([0, *cuts], [*cuts, len(listed)], strict=True):
+            part, batches = listed[a:b], []
+            while part:
+                n = r.randrange(1, 5)
+                batches.append(pa.record_batch([pa.array([x[i] for x in part[:n]], pa.int64()) for i in (0, 1)], names=["sig", "s"]))
+                part = part[n:]
+            for batch in _runs(iter(batches)):
+                for sig, s, edge in zip(*[batch.column(c).to_pylist() for c in ("sig", "s", "edge")], strict=True):
+                    (edges if edge else kept).add((sig, s))
+        whole = {}
+        for sig, s in listed:
+            whole.setdefault(sig, set()).add(s)
+        want = {(sig, s) for sig, s in listed if len(whole[sig]) > 1}
+        shared = {sig for sig, _ in edges if len({s for g, s in kept | edges if g == sig}) > 1}
+        assert kept | {x for x in edges if x[0] in shared} == want and len(edges) <= 2 * (len(cuts) + 1)
+
+
 def test_op6_long_words(spark, none):
     """Words that clash under a polynomial of any base mod 2^64 are different words."""
     from tessera.llm.ngram_join import link_documents
