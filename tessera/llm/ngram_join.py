@@ -276,31 +276,65 @@ def _sums(t: Fraction, *sides: str):
     return rows
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted listings (sig, s), those whose sig another set of the partition has too, and ``edge`` ones: a sig with
-    one set at the begin or the end of the partition, which may go on in the next one."""
-    sig, s, member, begun = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), False
-
-    def rows(some: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(sig[some]), pa.array(s[some]), pa.array(edge[some])], names=["sig", "s", "edge"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        before = len(sig)  # the row that was held back
-        sig, s = np.r_[sig, batch.column("sig").to_numpy()], np.r_[s, batch.column("s").to_numpy()]
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (s[1:] != s[:-1])]
-        sig, s = sig[new], s[new]
-        known = np.r_[member[:before], np.zeros(len(sig) - before, bool)] if before else np.zeros(len(sig), bool)
-        same = sig[1:] == sig[:-1]
-        member = known | np.r_[False, same] | np.r_[same, False]
-        edge = np.zeros(len(sig), bool)
-        if not begun and len(sig) > 1:
-            edge[0], begun = not member[0], True
-        yield rows(np.flatnonzero((member | edge)[:-1]), edge)
-        sig, s, member = sig[-1:], s[-1:], member[-1:]
-    if len(sig):
-        yield rows(np.array([0]), ~member)
+MEMBER, EDGE, PAIR = 0, 1, 2
+
+
+def _runs(small: int):
+    """Of sorted listings (sig, s), what their blocks give, as rows (kind, x, y).
+
+    PAIR: both sets of each pair of a block of at most ``small`` sets.  MEMBER: the sig and a
+    set of a larger block, or of one that may go on in the partition before or after.
+    EDGE: the same where the partition has only one set of such a block.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, s = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last run, which may go on
+        told, begun = False, False  # whether that run was told as members but for rows to come; whether a run has ended
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def emit() -> pa.RecordBatch:
+            kind = np.repeat(np.array([k for k, _, _ in out], np.int8), [len(x) for _, x, _ in out])
+            none = np.zeros(0, np.int64)
+            x, y = (np.concatenate([none, *[o[i] for o in out]]) for i in (1, 2))
+            out.clear()
+            return pa.record_batch([pa.array(kind), pa.array(x), pa.array(y)], names=["kind", "x", "y"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, s = np.r_[sig, batch.column("sig").to_numpy()], np.r_[s, batch.column("s").to_numpy()]
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (s[1:] != s[:-1])]
+            sig, s = sig[new], s[new]
+            start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            n = np.diff(np.r_[start, len(sig)])
+            ended = np.arange(len(start) - 1)
+            if len(ended) and (told or not begun):  # the first run is the partition's first, or is told already
+                if told:
+                    out.append((MEMBER, sig[1 : n[0]], s[1 : n[0]]))
+                else:
+                    out.append((EDGE if n[0] == 1 else MEMBER, sig[: n[0]], s[: n[0]]))
+                ended, told, begun = ended[1:], False, True
+            for m in range(2, small + 1):
+                block = s[start[ended[n[ended] == m]][:, None] + np.arange(m)]
+                i, j = np.triu_indices(m, 1)
+                out.append((PAIR, block[:, i].ravel(), block[:, j].ravel()))
+            large = np.zeros(len(start), bool)
+            large[ended[n[ended] > small]] = True
+            some = np.repeat(large, n)
+            out.append((MEMBER, sig[some], s[some]))
+            sig, s = sig[start[-1] :], s[start[-1] :]
+            if told:  # the run goes on; its first row is told
+                out.append((MEMBER, sig[1:], s[1:]))
+                sig, s = sig[-1:], s[-1:]
+            elif len(sig) > small:
+                out.append((MEMBER, sig, s))
+                sig, s, told = sig[-1:], s[-1:], True
+            yield emit()
+        if len(sig) and not told:
+            out.append((EDGE if len(sig) == 1 else MEMBER, sig, s))
+            yield emit()
+
+    return rows
 
 
 class Join:
@@ -313,30 +347,42 @@ class Join:
         first = [F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "wide")]
         some = self.entries.where("n > 0").groupBy("s", "z").agg(F.min(F.struct("k", "j")).alias("key"), F.count("*").alias("rows"), *first)
         self.sets = scratch.table(some.select(F.monotonically_increasing_id().alias("id"), "key.k", "key.j", *[c for c in some.columns if c != "key"]), "sets")
-        self.repeated = not self.entries.groupBy("k", "j").count().where("count > 1").isEmpty()
+        self.keys = scratch.table(self.entries.select("k", "j", "n", "s", "z"), "keys")
+        self.repeated = not self.keys.groupBy("k", "j").count().where("count > 1").isEmpty()
         self.grams: DataFrame | None = None  # (id, grams) of the sets that were fetched
 
-    def _members(self) -> DataFrame:
-        """(sig, id, n, p0 ..): the sets of each row block of two or more.
+    def _blocks(self) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of the sets of small row blocks that may be linked, and (sig, id, n, p0 ..), the sets of each larger one.
 
         Listings are sorted by ranges of (sig, s), so one shuffle shows the blocks, and a
         block with a third of all sets lies in many ranges.
         """
-        scratch, out, n = self.scratch, None, partitions(self.scratch.spark)
-        attributes = self.sets.select("s", "id", "n", "p0", "p1", "p2", "p3")
+        scratch, n, members, pairs = self.scratch, partitions(self.scratch.spark), None, None
         for g in range(LISTINGS):
             listed = self.entries.where("n > 0").select(F.explode(f"sig_{g}").alias("sig"), "s")
-            runs = listed.repartitionByRange(n, "sig", "s").sortWithinPartitions("sig", "s").mapInArrow(_runs, "sig long, s long, edge boolean")
+            runs = listed.repartitionByRange(n, "sig", "s").sortWithinPartitions("sig", "s").mapInArrow(_runs(OUTSIDE + 1), "kind byte, x long, y long")
             runs = scratch.table(runs, f"runs-{g}")
             scratch.release()
-            # at most two rows a range: those whose sig has another set in another range stay
-            edges = runs.where("edge").select("sig", "s")
-            shared = runs.join(F.broadcast(edges.select("sig").distinct()), "sig").groupBy("sig").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x != y").select("sig")
-            found = runs.where("not edge").select("sig", "s").union(edges.join(F.broadcast(shared), "sig").distinct())
-            some = scratch.table(found.join(attributes, "s").drop("s"), f"members-{g}")
-            out = some if out is None else out.union(some)
+            found = runs.where(F.col("kind") != PAIR).select(F.col("x").alias("sig"), F.col("y").alias("s"), "kind")
+            # at most two sets a range are edges; they stay if another range has another set of their block
+            edges = found.where(F.col("kind") == EDGE).select("sig", "s")
+            shared = found.join(F.broadcast(edges.select("sig").distinct()), "sig").groupBy("sig").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x != y").select("sig")
+            some = found.where(F.col("kind") == MEMBER).select("sig", "s").union(edges.join(F.broadcast(shared), "sig").distinct())
+            some = scratch.table(some, f"members-{g}")
+            both = scratch.table(runs.where(F.col("kind") == PAIR).select("x", "y").distinct(), f"listed-pairs-{g}")
+            members, pairs = some if members is None else members.union(some), both if pairs is None else pairs.union(both)
             scratch.drop(f"runs-{g}")
-        return out
+        scratch.drop("entries")
+        scratch.release()
+        attributes = ["id", "n", "p0", "p1", "p2", "p3"]
+        members = scratch.table(members.join(self.sets.select("s", *attributes), "s").drop("s"), "members")
+        side = lambda c: self.sets.select(F.col("s").alias(c), *[F.col(x).alias(f"{c}{x}") for x in attributes])
+        odd = sum((F.bit_count(F.col(f"xp{i}").bitwiseXOR(F.col(f"yp{i}"))) for i in range(4)), F.lit(0))
+        near = pairs.distinct().join(side("x"), "x").join(side("y"), "y").where(self._possible(F.col("xn"), F.col("yn"), odd) & (F.col("xid") != F.col("yid")))
+        near = scratch.table(near.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")), "near")
+        scratch.drop(*[f"{x}-{g}" for x in ("members", "listed-pairs") for g in range(LISTINGS)])
+        scratch.release()
+        return near, members
 
     def _possible(self, na: Column, nb: Column, odd: Column) -> Column:
         """Whether sizes and a number of n-grams that differ at least leave room for a link."""
@@ -397,8 +443,8 @@ class Join:
 
     def classes(self) -> DataFrame:
         """(node, component): the component, named by its least set, of each set that has links."""
-        scratch = self.scratch
-        members, found, tested, last = self._members(), None, None, False
+        scratch, found, tested, last = self.scratch, None, None, False
+        near, members = self._blocks()
         for round_ in range(ROUNDS + 1):
             last = last or round_ == ROUNDS
             named = members.withColumn("c", F.col("id")) if found is None else members.join(found.withColumnsRenamed({"node": "id", "component": "c"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
@@ -412,7 +458,8 @@ class Join:
             chosen = large.groupBy("sig", F.pmod(deal, F.lit(HUBS)).alias("part")).agg(F.min("id").alias("id")).drop("part")
             chosen = scratch.table(chosen, f"hubs-{round_}")
             hubs = open_.where("not large and c != big").unionByName(large.join(chosen, ["sig", "id"]))
-            pairs = scratch.table(self._pairs(open_, hubs), f"pairs-{round_}")
+            pairs = self._pairs(open_, hubs)
+            pairs = scratch.table(pairs if round_ else pairs.union(near).distinct(), f"pairs-{round_}")
             candidates = self._candidates(pairs)
             if tested is not None:
                 candidates = candidates.join(tested, ["a", "b"], "left_anti")
@@ -425,7 +472,7 @@ class Join:
             done = large.isEmpty()
             if not done:
                 members = large.select("sig", "id", "n", "p0", "p1", "p2", "p3")
-            scratch.drop(*[f"{x}-{round_}" for x in ("named", "sizes", "hubs", "pairs")], *([f"open-{round_ - 1}"] if round_ else [f"members-{g}" for g in range(LISTINGS)]))
+            scratch.drop(*[f"{x}-{round_}" for x in ("named", "sizes", "hubs", "pairs")], *([f"open-{round_ - 1}"] if round_ else ["members", "near"]))
             scratch.release()
             if done:
                 break
@@ -488,7 +535,7 @@ def classify_keys(rows: DataFrame, scratch: Scratch, width: int, t: Fraction, co
     if counted:
         classes = classes.join(join.links(found), "id", "left")
     ids = rows.groupBy("k", "j").agg(F.first("id").alias("id"), F.count("*").alias("copies"))
-    entries = join.entries.select("k", "j", F.col("n").alias("_n"), "s", "z").dropDuplicates(["k", "j"]).join(ids, ["k", "j"])
+    entries = join.keys.select("k", "j", F.col("n").alias("_n"), "s", "z").dropDuplicates(["k", "j"]).join(ids, ["k", "j"])
     # sets without n-grams have s = z = 0 and no row in ``sets``
     named = entries.join(classes.drop("id"), [entries["s"] == classes["s"], entries["z"] == classes["z"], entries["_n"] > 0], "left")
     columns = ["k", "j", "id", "copies", "_n", "_class"]
@@ -496,7 +543,7 @@ def classify_keys(rows: DataFrame, scratch: Scratch, width: int, t: Fraction, co
         named = named.withColumn("_links", F.coalesce(F.col("rows") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)))
         columns.append("_links")
     out = scratch.table(named.select(*columns), "named-keys")
-    scratch.drop("entries", "sets")
+    scratch.drop("keys", "sets")
     return out
 
 

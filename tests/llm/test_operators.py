@@ -348,28 +348,34 @@ def test_op6_runs():
     """Blocks of sorted listings, however they are cut into partitions and batches."""
     import pyarrow as pa
 
-    from tessera.llm.ngram_join import _runs
+    from tessera.llm.ngram_join import EDGE, MEMBER, PAIR, _runs
 
     r = random.Random(3)
-    for _ in range(200):
-        listed = sorted((r.randrange(12), r.randrange(6)) for _ in range(r.randrange(1, 40)))
+    for k in range(600):
+        small = 2 + k % 3
+        listed = sorted((r.randrange(1 + k % 12), r.randrange(6)) for _ in range(r.randrange(1, 40)))
         cuts = sorted(r.randrange(len(listed) + 1) for _ in range(r.randrange(4)))
-        kept, edges = set(), set()
+        got = {MEMBER: [], EDGE: [], PAIR: []}
         for a, b in zip([0, *cuts], [*cuts, len(listed)], strict=True):
             part, batches = listed[a:b], []
             while part:
                 n = r.randrange(1, 5)
                 batches.append(pa.record_batch([pa.array([x[i] for x in part[:n]], pa.int64()) for i in (0, 1)], names=["sig", "s"]))
                 part = part[n:]
-            for batch in _runs(iter(batches)):
-                for sig, s, edge in zip(*[batch.column(c).to_pylist() for c in ("sig", "s", "edge")], strict=True):
-                    (edges if edge else kept).add((sig, s))
+            for batch in _runs(small)(iter(batches)):
+                for kind, x, y in zip(*[batch.column(c).to_pylist() for c in ("kind", "x", "y")], strict=True):
+                    got[kind].append((x, y))
         whole = {}
         for sig, s in listed:
             whole.setdefault(sig, set()).add(s)
-        want = {(sig, s) for sig, s in listed if len(whole[sig]) > 1}
-        shared = {sig for sig, _ in edges if len({s for g, s in kept | edges if g == sig}) > 1}
-        assert kept | {x for x in edges if x[0] in shared} == want and len(edges) <= 2 * (len(cuts) + 1)
+        members, edges = set(got[MEMBER]), set(got[EDGE])
+        shared = {sig for sig, _ in edges if len({s for g, s in members | edges if g == sig}) > 1}
+        members |= {x for x in edges if x[0] in shared}
+        # each pair of a block is told, or the block's sets are members
+        pairs = {(a, b) for v in whole.values() for a in v for b in v if a < b}
+        known = {(a, b) for sig, a in members for g, b in members if g == sig and a < b} | set(got[PAIR])
+        assert known == pairs and len(edges) <= 2 * (len(cuts) + 1)
+        assert all(len(v) == 1 or len(v) <= small or {(sig, s) for s in v} <= members for sig, v in whole.items())
 
 
 def test_op6_long_words(spark, none):
