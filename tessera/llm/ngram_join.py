@@ -51,7 +51,7 @@ from tessera.llm.shingles import raw, sets, slices
 
 CLASS_RATIO = 1.5
 COLUMN_BLOCKS = 8
-LISTINGS = 8  # parts of the column blocks that are taken one after the other, to bound the disk in use
+LISTINGS = 4  # parts of the column blocks that are taken one after the other, to bound the disk in use
 PASSES = 4  # the same for pairs, if there are more than PASS_PAIRS
 PASS_PAIRS = 20_000
 BROADCAST_IDS = 1_000_000
@@ -357,30 +357,26 @@ class Join:
         Listings are sorted by ranges of (sig, s), so one shuffle shows the blocks, and a
         block with a third of all sets lies in many ranges.
         """
-        scratch, n, members, pairs = self.scratch, partitions(self.scratch.spark), None, None
+        scratch, n, runs = self.scratch, partitions(self.scratch.spark), None
         for g in range(LISTINGS):
             listed = self.entries.where("n > 0").select(F.explode(f"sig_{g}").alias("sig"), "s")
-            runs = listed.repartitionByRange(n, "sig", "s").sortWithinPartitions("sig", "s").mapInArrow(_runs(OUTSIDE + 1), "kind byte, x long, y long")
-            runs = scratch.table(runs, f"runs-{g}")
+            some = listed.repartitionByRange(n, "sig", "s").sortWithinPartitions("sig", "s").mapInArrow(_runs(OUTSIDE + 1), "kind byte, x long, y long")
+            some = scratch.table(some, f"runs-{g}")
+            runs = some if runs is None else runs.union(some)
             scratch.release()
-            found = runs.where(F.col("kind") != PAIR).select(F.col("x").alias("sig"), F.col("y").alias("s"), "kind")
-            # at most two sets a range are edges; they stay if another range has another set of their block
-            edges = found.where(F.col("kind") == EDGE).select("sig", "s")
-            shared = found.join(F.broadcast(edges.select("sig").distinct()), "sig").groupBy("sig").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x != y").select("sig")
-            some = found.where(F.col("kind") == MEMBER).select("sig", "s").union(edges.join(F.broadcast(shared), "sig").distinct())
-            some = scratch.table(some, f"members-{g}")
-            both = scratch.table(runs.where(F.col("kind") == PAIR).select("x", "y").distinct(), f"listed-pairs-{g}")
-            members, pairs = some if members is None else members.union(some), both if pairs is None else pairs.union(both)
-            scratch.drop(f"runs-{g}")
         scratch.drop("entries")
-        scratch.release()
+        found = runs.where(F.col("kind") != PAIR).select(F.col("x").alias("sig"), F.col("y").alias("s"), "kind")
+        # at most two sets a range are edges; they stay if another range has another set of their block
+        edges = found.where(F.col("kind") == EDGE).select("sig", "s")
+        shared = found.join(F.broadcast(edges.select("sig").distinct()), "sig").groupBy("sig").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x != y").select("sig")
+        members = found.where(F.col("kind") == MEMBER).select("sig", "s").union(edges.join(F.broadcast(shared), "sig").distinct())
         attributes = ["id", "n", "p0", "p1", "p2", "p3"]
         members = scratch.table(members.join(self.sets.select("s", *attributes), "s").drop("s"), "members")
         side = lambda c: self.sets.select(F.col("s").alias(c), *[F.col(x).alias(f"{c}{x}") for x in attributes])
         odd = sum((F.bit_count(F.col(f"xp{i}").bitwiseXOR(F.col(f"yp{i}"))) for i in range(4)), F.lit(0))
-        near = pairs.distinct().join(side("x"), "x").join(side("y"), "y").where(self._possible(F.col("xn"), F.col("yn"), odd) & (F.col("xid") != F.col("yid")))
+        near = runs.where(F.col("kind") == PAIR).select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y").where(self._possible(F.col("xn"), F.col("yn"), odd) & (F.col("xid") != F.col("yid")))
         near = scratch.table(near.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")), "near")
-        scratch.drop(*[f"{x}-{g}" for x in ("members", "listed-pairs") for g in range(LISTINGS)])
+        scratch.drop(*[f"runs-{g}" for g in range(LISTINGS)])
         scratch.release()
         return near, members
 
