@@ -15,10 +15,17 @@ formed.  What matters are links between different components of a row block.
 Where few of its sets are outside its largest component, those are held against
 all of its sets.  Elsewhere some hubs are held against all sets, and the links found
 join components before the next hubs are chosen.  After ``ROUNDS`` rounds, or when
-hubs no longer join anything, the sets outside the largest component are held
-against all.  So no link between two components is lost, and the pairs of a round
-are in proportion to the listings.  Pairs must pass bounds on sizes and on parities
+hubs no longer join anything, all pairs of different components are held against
+each other, so no link between two components is lost.  The pairs of rounds of hubs
+are in proportion to the listings; what is left then are large groups that are alike
+but not linked, and its time grows with the square of such a group.  Pairs must pass bounds on sizes and on parities
 of n-gram counts before they become rows.
+
+A passage or an n-gram that unrelated documents share makes a row block that grows
+with the corpus.  A linked pair agrees in all blocks but those that can differ, so
+a set with m + 1 blocks more than can differ may leave out the m that most sets
+share: if all sets rank blocks alike, the rarest that a pair agrees in has m others
+above it in both, and neither set leaves it out.
 Sets are nodes: copies of one set never form pairs.
 
 Links are counted apart: both ends of a link lie in one component, so the sets of
@@ -40,7 +47,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bytehash import mix
@@ -50,10 +57,12 @@ from tessera.llm.scratch import Scratch, partitions
 from tessera.llm.shingles import raw, sets, slices
 
 CLASS_RATIO = 1.5
+MOST_SPARED = (1 << 15) - 1
 COLUMN_BLOCKS = 8
 LISTINGS = 4  # parts of the column blocks that are taken one after the other, to bound the disk in use
 PASSES = 4  # the same for pairs, if there are more than PASS_PAIRS
 PASS_PAIRS = 20_000
+FEW_PAIRS = 1000  # candidates that are all verified at once
 BROADCAST_IDS = 1_000_000
 OUTSIDE = 8  # sets of a row block outside its largest component that are held against all of its sets at once
 HUBS = 8  # else, hubs of a row block in each round
@@ -93,7 +102,15 @@ class Bounds:
 
 
 def signatures(u: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """Identifiers of the column blocks of a sorted set.
+    """Identifiers of the column blocks of a sorted set."""
+    return listings(u, bounds)[0]
+
+
+def listings(u: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, int]:
+    """Identifiers of the column blocks of a sorted set, and how many of them it can spare.
+
+    The two low bits of an identifier are those of the size class.  The set can do
+    without as many of a class as ``spared`` reads from the second result.
 
     A block without n-grams says nothing and is left out.  If there are so few others
     that a linked set may differ in each, the blocks less one n-gram are listed too:
@@ -103,21 +120,31 @@ def signatures(u: np.ndarray, bounds: Bounds) -> np.ndarray:
     of the size class is added.
     """
     out, high = [], u >> np.uint64(32)
+    spare: dict[int, int] = {}
     for cls, parts in bounds.classes(len(u)):
         part = (high * np.uint64(parts)) >> np.uint64(32)
         begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         spread = mix(u)
         sums = np.add.reduceat(spread, begins)
         salt = mix(part[begins] + np.uint64((cls << 40) + 1))
-        out.append(mix(sums ^ salt))
+        found = [mix(sums ^ salt)]
         most = min(bounds.differing(len(u)), bounds.differing(int(bounds.edges[cls + 1]) - 1))
         if len(begins) <= most:
             which = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(u)]))
             less = sums[which] - spread
-            out.append(mix(less[less != 0] ^ salt[which][less != 0]))
+            found.append(mix(less[less != 0] ^ salt[which][less != 0]))
             if len(begins) + np.count_nonzero(np.diff(np.r_[begins, len(u)]) > 1) <= most:
-                out.append(mix(np.array([(cls << 40) + 2], np.uint64)))
-    return np.unique(np.concatenate(out))
+                found.append(mix(np.array([(cls << 40) + 2], np.uint64)))
+        out.append((np.concatenate(found) & ~np.uint64(3)) | np.uint64(cls & 3))
+        m = min(MOST_SPARED, max(0, len(begins) - most - 1))
+        spare[cls & 3] = min(m, spare.get(cls & 3, m))
+    return np.unique(np.concatenate(out)), sum(m << 16 * low for low, m in spare.items())
+
+
+def spared(spare: Column, sig: Column) -> Column:
+    """How many identifiers of the class of ``sig`` a set can do without."""
+    low = sig.bitwiseAND(F.lit(3))
+    return F.coalesce(*[F.when(low == c, F.shiftright(spare, 16 * c).bitwiseAND(F.lit(MOST_SPARED))) for c in range(4)])
 
 
 def parities(u: np.ndarray, bits: int) -> np.ndarray:
@@ -131,7 +158,7 @@ def wide_bits(n: int) -> int:
     return max(256, 1 << (n - 1).bit_length())
 
 
-_KEYS = ("k", "j", "n", "s", "z", "p0", "p1", "p2", "p3")
+_KEYS = ("k", "j", "n", "s", "z", "p0", "p1", "p2", "p3", "spare")
 _SIGS = tuple(f"sig_{g}" for g in range(LISTINGS))
 ENTRY = pa.schema([*[(c, pa.int64()) for c in _KEYS], *[(c, pa.list_(pa.int64())) for c in ("wide", *_SIGS)]])
 ENTRY_SQL = ", ".join([*[f"{c} long" for c in _KEYS], *[f"{c} array<long>" for c in ("wide", *_SIGS)]])
@@ -153,15 +180,15 @@ def _listed(width: int, t: Fraction):
                 for u in sets(texts, width):
                     k, j = next(keys)
                     if not len(u):
-                        numbers.append((k, j, *[0] * 7))
+                        numbers.append((k, j, *[0] * 8))
                         lists.append([none] * (1 + LISTINGS))
                         continue
                     s = int(np.uint64(xxhash.xxh3_64_intdigest(u.tobytes())).astype(np.int64))
                     z = int(np.uint64(xxhash.xxh3_64_intdigest(u.tobytes(), 1)).astype(np.int64))
                     wide = parities(u, wide_bits(len(u)))
                     short = np.bitwise_xor.reduce(wide.reshape(-1, 4), axis=0)
-                    found = signatures(u, bounds)
-                    numbers.append((k, j, len(u), s, z, *short.tolist()))
+                    found, spare = listings(u, bounds)
+                    numbers.append((k, j, len(u), s, z, *short.tolist(), spare))
                     lists.append([wide, *np.split(found.view(np.int64), np.searchsorted(found, edges))])
                 columns = [pa.array(c, pa.int64()) for c in zip(*numbers, strict=True)] + [_lists(list(c)) for c in zip(*lists, strict=True)]
                 yield pa.record_batch(columns, schema=ENTRY)
@@ -276,6 +303,45 @@ def _sums(t: Fraction, *sides: str):
     return rows
 
 
+def may_link(na: np.ndarray, wa: np.ndarray, nb: np.ndarray, wb: np.ndarray, t: Fraction) -> np.ndarray:
+    """Which pairs sizes and wide parities (a row a set, as many words in each of ``wa`` and in each of ``wb``) do not rule out."""
+    words = min(wa.shape[1], wb.shape[1])
+    wa, wb = (np.bitwise_xor.reduce(w.reshape(len(w), -1, words), axis=1) for w in (wa, wb))
+    small, large = np.minimum(na[:, None], nb[None, :]), np.maximum(na[:, None], nb[None, :])
+    out = small * t.denominator >= large * t.numerator
+    step = max(1, (1 << 20) // max(1, len(nb) * words))
+    for at in range(0, len(na), step):
+        odd = np.bitwise_count(wa[at : at + step, None, :] ^ wb[None, :, :]).sum(axis=2, dtype=np.int64)
+        n = na[at : at + step, None] + nb[None, :]
+        out[at : at + step] &= (n - odd) * (t.numerator + t.denominator) >= n * 2 * t.numerator
+    return out
+
+
+def _may_link(t: Fraction, *sides: str):
+    """Pairs (a, b) of sets (id, c, n, wide) of one or two blocks that are in different components and may be linked."""
+
+    def parts(members: pa.StructArray) -> list[tuple[np.ndarray, ...]]:
+        ids, c, n, wide = members.flatten()
+        words, flat = np.diff(wide.offsets.to_numpy()), wide.flatten().to_numpy().view(np.uint64)
+        begins, out = np.cumsum(words) - words, []
+        for m in np.unique(words):
+            some = words == m
+            out.append((ids.to_numpy()[some], c.to_numpy()[some], n.to_numpy()[some], flat[begins[some][:, None] + np.arange(m)]))
+        return out
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blocks = [parts(batch.column(c)[i].values) for c in sides]
+                for x, (ia, ca, na, wa) in enumerate(blocks[0]):
+                    for ib, cb, nb, wb in blocks[-1][x if len(sides) == 1 else 0 :]:
+                        a, b = np.nonzero((ca[:, None] != cb[None, :]) & may_link(na, wa, nb, wb, t))
+                        a, b = ia[a], ib[b]
+                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows
+
+
 MEMBER, EDGE, PAIR = 0, 1, 2
 
 
@@ -344,7 +410,7 @@ class Join:
         self.rows, self.scratch, self.width, self.t = rows, scratch, width, t
         self.entries = scratch.table(rows.mapInArrow(_listed(width, t), ENTRY_SQL), "entries")
         # a row for each set: an id, the least key, its size and its parities
-        first = [F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "wide")]
+        first = [F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "spare", "wide")]
         some = self.entries.where("n > 0").groupBy("s", "z").agg(F.min(F.struct("k", "j")).alias("key"), F.count("*").alias("rows"), *first)
         self.sets = scratch.table(some.select(F.monotonically_increasing_id().alias("id"), "key.k", "key.j", *[c for c in some.columns if c != "key"]), "sets")
         self.keys = scratch.table(self.entries.select("k", "j", "n", "s", "z"), "keys")
@@ -370,16 +436,26 @@ class Join:
         edges = found.where(F.col("kind") == EDGE).select("sig", "s")
         shared = found.join(F.broadcast(edges.select("sig").distinct()), "sig").groupBy("sig").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x != y").select("sig")
         members = found.where(F.col("kind") == MEMBER).select("sig", "s").union(edges.join(F.broadcast(shared), "sig").distinct())
+        members = scratch.table(members, "listed")
         attributes = ["id", "n", "p0", "p1", "p2", "p3"]
-        members = scratch.table(members.join(self.sets.select("s", *attributes), "s").drop("s"), "members")
+        members = scratch.table(self._rarest(members, attributes), "members")
         side = lambda c: self.sets.select(F.col("s").alias(c), *[F.col(x).alias(f"{c}{x}") for x in attributes])
         odd = sum((F.bit_count(F.col(f"xp{i}").bitwiseXOR(F.col(f"yp{i}"))) for i in range(4)), F.lit(0))
         near = runs.where(F.col("kind") == PAIR).select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y").where(self._possible(F.col("xn"), F.col("yn"), odd) & (F.col("xid") != F.col("yid")))
         near = scratch.table(near.select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")), "near")
-        scratch.drop(*[f"runs-{g}" for g in range(LISTINGS)])
+        scratch.drop("listed", "shares", *[f"runs-{g}" for g in range(LISTINGS)])
         scratch.release()
         return near, members
 
+    def _rarest(self, members: DataFrame, attributes: list[str]) -> DataFrame:
+        """(sig, attributes) of ``members`` (sig, s) but for those that a set can spare, the ones that most sets share."""
+        shares = self.scratch.table(members.groupBy("sig").agg(F.count("*").alias("shares")).where("shares > 1"), "shares")
+        named = members.join(shares, "sig").join(self.sets.select("s", "spare", *attributes), "s")
+        # s as well: the join has dealt by it
+        alike = Window.partitionBy("s", "id", F.col("sig").bitwiseAND(F.lit(3))).orderBy(F.desc("shares"), "sig")
+        ranked = named.withColumn("rank", F.row_number().over(alike))
+        return ranked.where(F.col("rank") > spared(F.col("spare"), F.col("sig"))).select("sig", *attributes)
+
     def _possible(self, na: Column, nb: Column, odd: Column) -> Column:
         """Whether sizes and a number of n-grams that differ at least leave room for a link."""
         num, den = self.t.numerator, self.t.denominator
@@ -414,16 +490,39 @@ class Join:
         return self.grams
 
     def _verify(self, candidates: DataFrame, name: str) -> DataFrame:
-        """The candidates that are linked, as (a, b)."""
+        """Links (a, b) among the candidates that join all that the candidates' links join.
+
+        Each set is held against the least one it is a candidate with; of the other
+        candidates those remain that lie in different components then.
+        """
+        scratch = self.scratch
         wanted = candidates.select(F.col("a").alias("id"), F.col("ka").alias("k"), F.col("ja").alias("j")).union(candidates.select("b", "kb", "jb")).distinct()
-        grams = self.fetch(wanted, name)
-        passes, links = PASSES if candidates.count() > PASS_PAIRS else 1, None
+        grams, pairs = self.fetch(wanted, name), candidates.select("a", "b")
+        if pairs.count() <= FEW_PAIRS:
+            return self._linked(pairs, grams, name)
+        least = scratch.table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), f"{name}-least")
+        links = self._linked(least, grams, f"{name}-least")
+        found = components(links, scratch, f"{name}-merge")
+        of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        rest = pairs.join(least, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        rest = scratch.table(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), f"{name}-rest")
+        return links.union(self._linked(rest, grams, name))
+
+    def _linked(self, pairs: DataFrame, grams: DataFrame, name: str) -> DataFrame:
+        """The ``pairs`` (a, b) that are linked."""
+        n, links = pairs.count(), None
+        passes = PASSES if n > PASS_PAIRS else 1
         for g in range(passes):  # the rows of one pass are on disk at a time
-            deal = F.pmod(F.xxhash64("a"), F.lit(passes)) == g
-            pairs = candidates.select("a", "b").where(deal).join(grams.select(F.col("id").alias("a"), F.col("grams").alias("ga")).where(deal), "a")
-            pairs = pairs.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-            some = self.scratch.table(pairs.mapInArrow(_product(self.t), "a long, b long"), f"{name}-links-{g}")
-            links = some if links is None else links.union(some)
+            some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(passes)) == g)
+
+            def side(c: str) -> DataFrame:
+                ids = some.select(F.col(c).alias("id")).distinct()  # noqa: B023
+                held = grams.join(F.broadcast(ids), "id", "left_semi") if n <= BROADCAST_IDS else grams
+                return held.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}"))
+
+            both = some.join(side("a"), "a").join(side("b"), "b")
+            out = self.scratch.table(both.mapInArrow(_product(self.t), "a long, b long"), f"{name}-links-{g}")
+            links = out if links is None else links.union(out)
             self.scratch.release()
         return links
 
@@ -437,6 +536,35 @@ class Join:
         near = left.join(right, ["sig", "cell"]).where((F.col("c") != F.col("hc")) & self._possible(F.col("n"), F.col("hn"), odd))
         return near.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
 
+    def _rest(self, open_: DataFrame, name: str) -> DataFrame:
+        """Distinct pairs (a, b) of sets in different components that share a row block and may be linked.
+
+        Near copies share many row blocks, and each would give the same pairs.  Sets that
+        row blocks tie together are therefore multiplied once, by their wide parities, where
+        that makes fewer pairs than the row blocks together; elsewhere row blocks give the pairs.
+        """
+        scratch = self.scratch
+        blocks = scratch.table(open_.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("all"), F.first("outside").alias("outside")), f"{name}-blocks")
+        ties = open_.join(blocks.select("sig", "least"), "sig").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+        tied = scratch.table(components(ties, scratch, f"{name}-ties"), f"{name}-tied")
+        cells = tied.groupBy(F.col("component").alias("cell")).agg(F.count("*").alias("sets"))
+        costs = blocks.join(tied, blocks["least"] == tied["node"]).groupBy(F.col("component").alias("cell")).agg(F.sum(F.col("all") * F.col("outside")).alias("pairs"))
+        once = scratch.table(cells.join(costs, "cell").where(F.col("sets") * F.col("sets") <= F.col("pairs")).select("cell"), f"{name}-once")
+        where = scratch.table(tied.join(once, tied["component"] == once["cell"]).select(F.col("node").alias("id"), "cell"), f"{name}-cells")
+        named = open_.select("id", "c").distinct().join(where, "id").join(self.sets.select("id", "n", "wide"), "id")
+        named = scratch.table(named, f"{name}-sets")
+        size = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS))
+        dealt = named.join(scratch.table(named.groupBy("cell").agg(size.alias("blocks")), f"{name}-sizes"), "cell").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        packed = scratch.table(dealt.groupBy("cell", "blocks", "i").agg(F.collect_list(F.struct("id", "c", "n", "wide")).alias("a")), f"{name}-packed")
+        pairs = packed.select("a").mapInArrow(_may_link(self.t, "a"), "a long, b long")
+        left = packed.where("i + 1 < blocks").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)))
+        right = packed.where("blocks > 1").select("cell", F.col("i").alias("j"), F.col("a").alias("b"))
+        pairs = pairs.union(left.join(right, ["cell", "j"]).select("a", "b").mapInArrow(_may_link(self.t, "a", "b"), "a long, b long"))
+        others = scratch.table(open_.join(where.select("id"), "id", "left_anti"), f"{name}-others")
+        if not others.isEmpty():
+            pairs = pairs.union(self._pairs(others, others.where("c != big")))
+        return pairs.distinct()
+
     def classes(self) -> DataFrame:
         """(node, component): the component, named by its least set, of each set that has links."""
         scratch, found, tested, last = self.scratch, None, None, False
@@ -454,7 +582,7 @@ class Join:
             chosen = large.groupBy("sig", F.pmod(deal, F.lit(HUBS)).alias("part")).agg(F.min("id").alias("id")).drop("part")
             chosen = scratch.table(chosen, f"hubs-{round_}")
             hubs = open_.where("not large and c != big").unionByName(large.join(chosen, ["sig", "id"]))
-            pairs = self._pairs(open_, hubs)
+            pairs = self._rest(open_, f"rest-{round_}") if last else self._pairs(open_, hubs)
             pairs = scratch.table(pairs if round_ else pairs.union(near).distinct(), f"pairs-{round_}")
             candidates = self._candidates(pairs)
             if tested is not None:

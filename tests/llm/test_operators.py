@@ -344,6 +344,88 @@ def test_op6_rounds(spark, monkeypatch, outside, hubs, rounds):
     assert 5 < len({c for _, _, c in plain.components(rows[:60], 5, 4, 5)}) < 60
 
 
+def test_op6_spared():
+    """Linked sets that leave out what they can spare, by any ranking, still share an identifier; so do sizes of all classes."""
+    from fractions import Fraction
+
+    from tessera.llm.ngram_join import MOST_SPARED, Bounds, listings, overlaps
+
+    rng, some = np.random.default_rng(8), 0
+    for t in (Fraction(4, 5), Fraction(9, 10), Fraction(1, 3)):
+        bounds = Bounds(t)
+        for k in range(400):
+            n, salt = int(rng.integers(1, 500)), np.uint64(rng.integers(0, 1 << 62))
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            most = bounds.differing(len(a))
+            lost = int(rng.integers(0, most + 1))
+            b = np.unique(np.r_[a[lost:], rng.integers(0, 1 << 64, most - lost, dtype=np.uint64)])
+            if not len(b) or not overlaps([a], [b], t)[0]:
+                continue
+            kept = []
+            for u in (a, b):
+                found, spare = listings(u, bounds)
+                for low in range(4):
+                    one = found[found & np.uint64(3) == low]
+                    m = spare >> 16 * low & MOST_SPARED
+                    some += min(m, len(one))
+                    kept.append(one[np.argsort(one * np.uint64(2 * k + 1) ^ salt)][m:])
+            assert len(np.intersect1d(np.concatenate(kept[:4]), np.concatenate(kept[4:])))
+    assert some > 1000
+
+
+def test_op6_may_link():
+    """Products of wide parities, also of different widths, rule out no linked pair, and say what parities of one pair say."""
+    from fractions import Fraction
+
+    from tessera.llm.ngram_join import may_link, parities
+
+    rng, t = np.random.default_rng(12), Fraction(4, 5)
+    base = rng.integers(0, 1 << 64, 600, dtype=np.uint64)
+    drawn = lambda m: [np.unique(np.r_[base[: 500 + i % 9], rng.integers(0, 1 << 64, rng.integers(0, 140), dtype=np.uint64)]) for i in range(m)]
+    a, b = drawn(23), drawn(31)
+    wide = lambda sets, bits: np.array([parities(u, bits) for u in sets]).view(np.uint64)
+    for x, y in ((512, 512), (512, 1024), (1024, 256)):
+        got = may_link(np.array([len(u) for u in a]), wide(a, x), np.array([len(u) for u in b]), wide(b, y), t)
+        bits = min(x, y)
+        for i, u in enumerate(a):
+            for j, v in enumerate(b):
+                odd = int(np.bitwise_count(wide([u], bits) ^ wide([v], bits)).sum())
+                small, large = sorted((len(u), len(v)))
+                assert got[i, j] == (small * 5 >= large * 4 and (small + large - odd) * 9 >= (small + large) * 8)
+                assert got[i, j] or len(np.intersect1d(u, v)) * 9 < (small + large) * 4
+        assert 0 < got.sum() < got.size
+
+
+@pytest.mark.parametrize("sets", [512, 30])
+def test_op6_alike(spark, monkeypatch, sets):
+    """Copies of one text that are alike but not linked: row blocks do not give each pair many times over."""
+    from fractions import Fraction
+
+    from tessera.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 5)
+    joined, before = [], ngram_join.Join._pairs
+
+    def counted(self, named, hubs):
+        some = named.select("sig", "c").join(hubs.select("sig", F.col("c").alias("hc")), "sig")
+        joined.append(some.where("c != hc").count())
+        return before(self, named, hubs)
+
+    monkeypatch.setattr(ngram_join.Join, "_pairs", counted)
+    r = random.Random(19)
+    base, rows = words(r, 400, 5000), []
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(len(w)), 10 if i % 4 else 3):
+            w[at] = f"edit{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = [tuple(x) for x in ngram_join.link_documents(frame(spark, rows), 5, Fraction(4, 5)).collect()]
+    want = [(*c, n) for c, n in zip(plain.components(rows, 5, 4, 5), plain.links(rows, 5, 4, 5), strict=True)]
+    same(got, want)
+    assert 5 < len({c for *_, c in plain.components(rows, 5, 4, 5)}) and sum(joined) < 200_000
+
+
 def test_op6_runs():
     """Blocks of sorted listings, however they are cut into partitions and batches."""
     import pyarrow as pa
