@@ -708,7 +708,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, t: Fraction = Fraction(4,
     lost = named(classed.where("_class is not null").join(first, "_class").where((F.col("k") != F.col("first.k")) | (F.col("j") != F.col("first.j"))))
     again = scratch.table(named(classed.where("copies > 1")), "again")
     lost = scratch.table(lost, "lost")
-    once = rows.join(lost.union(again).distinct(), key, "left_anti")
+    gone = scratch.table(lost.union(again).distinct(), "gone")
+    once = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")  # texts stay where they are
     if not again.isEmpty():
         once = once.union(rows.join(again.join(lost, key, "left_anti"), key, "left_semi").dropDuplicates(key).select(*once.columns))
     return unwrapped(once)

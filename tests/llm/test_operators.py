@@ -426,6 +426,21 @@ def test_op6_alike(spark, monkeypatch, sets):
     assert 5 < len({c for *_, c in plain.components(rows, 5, 4, 5)}) and sum(joined) < 200_000
 
 
+def test_op6_texts_stay(spark):
+    """What keep_one_of_each drops is told to the texts; they are not shuffled for it."""
+    from tessera.llm.ngram_join import keep_one_of_each
+
+    rows = [(i, f"one two three four five six {i % 3}") for i in range(9)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = keep_one_of_each(frame(spark, rows))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert {x.doc_id for x in kept.collect()} == {0, 1, 2} and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_op6_runs():
     """Blocks of sorted listings, however they are cut into partitions and batches."""
     import pyarrow as pa
