@@ -71,7 +71,6 @@ class Encoder:
         self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0) if self.plain else None  # the pieces have a table of their own
         self.whole = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self.odd = re.compile(r" (?:\s|$)")
         self.control = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
         self.lines = re.compile(r"(?<=\S)\n(?=\S)")
         self.pattern = regex.compile(PATTERN)
@@ -81,10 +80,13 @@ class Encoder:
         self.after: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _ids(self, letters: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _part(self, letters: str) -> bytes:
         got = self.parts.get(letters)
         if got is None:
-            got = self.parts[letters] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+            got = self.parts[letters] = self._ids(letters)
             self.bytes += len(letters) + len(got) + _ENTRY_BYTES
         return got
 
@@ -99,7 +101,7 @@ class Encoder:
         return b"".join([self._line(first, blank), *[x for line in rest for x in (self._part(self.letters[10]), self._line(line, ""))]])
 
     def _line(self, word: str, blank: str) -> bytes:
-        """Words of Latin letters, also with a full stop or comma after them, are cut at once, other ASCII by
+        """Words of Latin letters are one part, also with a full stop or comma after them; other ASCII is cut by
         the pre-tokenizer's pattern, and what is left by the pre-tokenizer itself."""
         lead = self.letters[32] if blank else ""
         if word.isalpha() and max(word) < LATIN_END:
@@ -112,7 +114,15 @@ class Encoder:
         return b"".join([self._part(letters) for letters, _ in self.split(text)])
 
     def _new(self, table: dict[str, bytes], word: str, blank: str) -> bytes:
-        got = table[word] = self._piece(word, blank)
+        """A word that is one part is in this table alone, and words with a full stop or comma are made from it."""
+        stem = word[:-1] if word[-1:] in (".", ",") else word
+        if not stem.isalpha() or not (stem.isascii() or max(stem) < LATIN_END):
+            got = self._piece(word, blank)
+        elif stem is word:
+            got = self._ids((self.letters[32] if blank else "") + self._letters(word))
+        else:
+            got = (table.get(stem) or self._new(table, stem, blank)) + self._part(word[-1])
+        table[word] = got
         self.bytes += len(word) + len(got) + _ENTRY_BYTES
         return got
 
@@ -120,23 +130,29 @@ class Encoder:
         """Little-endian unsigned ids of ``type``."""
         if not text:
             return b""
-        if not self.plain or self.odd.search(text) or any(x in text for x in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        if not self.plain or any(x in text for x in self.special):
+            return self._whole(text)
         if self.bytes > CACHE_BYTES:
             self.first.clear()
             self.after.clear()
             self.parts.clear()
             self.bytes = 0
         head, *rest = text.split(" ")
-        after, out = self.after, []
+        after = self.after
+        out = list(map(after.get, rest))
+        missing = [i for i, x in enumerate(out) if x is None]
+        # blanks that meet other white space: such words are never in the table
+        if any(not rest[i] or rest[i][0].isspace() for i in missing):
+            return self._whole(text)
+        for i in missing:
+            out[i] = after.get(rest[i]) or self._new(after, rest[i], " ")
         if head:
-            out.append(self.first.get(head) or self._new(self.first, head, ""))
-        try:
-            out.extend([after[w] for w in rest])
-        except KeyError:
-            out.extend([after.get(w) or self._new(after, w, " ") for w in rest])
+            out.insert(0, self.first.get(head) or self._new(self.first, head, ""))
         return b"".join(out)
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
 
 _encoders: dict[str, Encoder] = {}
 

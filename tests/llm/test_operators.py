@@ -787,3 +787,16 @@ def test_ordering_and_scratch(spark):
     rows = spark.range(1000).selectExpr("id % 7 as a", "id as b", "1L as one")
     got = with_prefix(ranged(rows, ["a", "b"], scratch, "r", 5), ["a", "b"], {"at": "one"}, 5).orderBy("a", "b").collect()
     assert [r["at"] for r in got] == list(range(1000))
+
+
+def test_op2_tables():
+    """Ids are the library's whatever texts came before; words of one part are kept once, and misses alone are looked at for odd blanks."""
+    from tessera.llm.token_files import DEFAULT, Encoder, located
+
+    enc, r = Encoder(located(DEFAULT)), random.Random(23)
+    some = ["plain", "stem", "stem.", "stem,", "état", "été.", "don't", "a1b2", ".", ",", "..", "x\ny", "\n", "\ty", "<|endoftext|>", "日本", " z", "", "tail\n", "Ω,", "-"]
+    for _ in range(3000):
+        text = " ".join(r.choice(some) for _ in range(r.randrange(1, 9)))
+        assert np.frombuffer(enc.encode(text), enc.type).tolist() == enc.whole.encode(text, add_special_tokens=False).ids, text
+    assert "stem" in enc.after and "Ġstem" not in enc.parts
+    assert not any(not w or w[0].isspace() or "<|endoftext|>" in w for w in enc.after)
